@@ -238,5 +238,21 @@ def near_duplicates(docs: DataFrame, *, words: int = 4, threshold: int = 4, bloc
     return each.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs``, all columns, whose doc_id is the smallest of their component.
+
+    Of rows that share such a doc_id one stays. Rows without an id stay, one of
+    each text: no result can name them.
+    """
+    found = near_duplicates(docs, **options)
+    ids = materialize(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__kept")).agg(F.count("*").alias("__n")), "kept")
+    out = docs.join(ids.select("__kept"), F.col("doc_id") == F.col("__kept"), "left_semi")
+    if docs.select("doc_id").count() != docs.select("doc_id").distinct().count():
+        out = out.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))
+    elif not docs.where("doc_id is null").isEmpty():
+        out = out.unionByName(docs.where("doc_id is null"))
+    return out
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
