@@ -1,0 +1 @@
+"""Graphs here are static: there is no streaming operator to express."""
