@@ -231,16 +231,31 @@ def light_spans(ctx: DataFrame, length: int) -> DataFrame:
     return ctx.repartition(n, key).sortWithinPartitions(key, "uid", "th", "pos").mapInArrow(run, "uid long, th long, lo long, hi long")
 
 
-def heavy_spans(ctx: DataFrame, length: int) -> DataFrame:
-    """The same for anchors that are too common for one task: the first place of
-    each window is an aggregate with a map-side combine, brought back by a join
-    that AQE can split."""
+def heavy_spans(ctx: DataFrame, length: int, heavy: int) -> DataFrame:
+    """The same for anchors that are too common for one task.
+
+    Places with equal contexts are put together first, by an aggregate with a
+    map-side combine; all but the first of each repeat it. Where the different
+    contexts of an anchor fit a task, they are sorted there. Of the others, the
+    first place of each window is an aggregate too. Joins that AQE can split
+    bring the first places back.
+    """
+    ctx = materialize(ctx, "common-contexts")
+    place = F.struct("uid", "th", "pos")
+    firsts = ctx.groupBy(F.col("before").alias("b"), F.col("after").alias("a")).agg(F.min(place).alias("p"))
+    firsts = materialize(firsts.withColumn("n", F.count("*").over(Window.partitionBy(F.substring("a", 1, GRAM)))), "first-contexts")
+    whole = ctx.join(firsts, (F.col("before") == F.col("b")) & (F.col("after") == F.col("a"))).where((place > F.col("p")) & (F.length("before") + F.length("after") >= length))
+    out = whole.select("uid", "th", (F.col("pos") - F.length("before")).cast("long").alias("lo"), (F.col("pos") + F.length("after")).cast("long").alias("hi"))
+    different = firsts.select(F.col("b").alias("before"), F.col("a").alias("after"), "p.uid", "p.th", "p.pos", "n")
+    out = out.unionByName(light_spans(different.where(F.col("n") <= heavy).drop("n"), length))
+    if different.where(F.col("n") > heavy).isEmpty():
+        return out
     a = F.explode(F.sequence(F.greatest(F.lit(0), F.lit(length) - F.length("after")), F.least(F.length("before"), F.lit(length - GRAM))))
-    fits = ctx.where(F.length("before") + F.length("after") >= length)
+    fits = different.where((F.col("n") > heavy) & (F.length("before") + F.length("after") >= length))
     windows = fits.select("uid", "th", "pos", "before", "after", a.alias("a")).select("uid", "th", (F.col("pos") - F.col("a")).cast("long").alias("lo"), F.sha2(F.concat(F.substring(F.col("before"), F.lit(1), F.col("a")), F.lit(b"\x00"), F.substring(F.col("after"), F.lit(1), F.lit(length) - F.col("a")), F.col("a").cast("string").cast("binary")), 256).alias("w"))
-    place = F.struct("uid", "th", "lo")
-    first = windows.groupBy("w").agg(F.min(place).alias("first"))
-    return windows.join(first, "w").where(place > F.col("first")).select("uid", "th", "lo", (F.col("lo") + length).alias("hi"))
+    start = F.struct("uid", "th", "lo")
+    first = windows.groupBy("w").agg(F.min(start).alias("first"))
+    return out.unionByName(windows.join(first, "w").where(start > F.col("first")).select("uid", "th", "lo", (F.col("lo") + length).alias("hi")))
 
 
 def merged(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -301,7 +316,7 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, with_text: bool = F
     places = materialize(counted.select("uid", "th", "pos", (F.col("n") > heavy).alias("heavy")), "places")
     spans = light_spans(contexts(work, places.where("not heavy"), length), length)
     if not places.where("heavy").isEmpty():
-        spans = spans.unionByName(heavy_spans(contexts(work, places.where("heavy"), length), length))
+        spans = spans.unionByName(heavy_spans(contexts(work, places.where("heavy"), length), length, heavy))
     per = spans.groupBy("uid", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")).withColumnsRenamed({"uid": "u", "th": "t"})
     both = work.join(per, same_text(), "left").select("uid", "th", "text", "spans")
 
