@@ -203,7 +203,7 @@ def links(fps: DataFrame, threshold: int = 4, blocks: int | None = None) -> Data
                     for i, j in tree_edges(x, home[lo:hi], threshold):
                         a.append(x[i])
                         b.append(x[j])
-            held = [] if last else [pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in t.slice(int(bounds[stop])).columns], names=t.schema.names)]
+            held = [] if last else t.slice(int(bounds[stop])).to_batches()
             yield pa.RecordBatch.from_arrays([pa.array(np.array(a, "u8").view("i8")), pa.array(np.array(b, "u8").view("i8"))], names=["a", "b"])
 
         size = 0
