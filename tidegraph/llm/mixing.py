@@ -44,9 +44,10 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, total: float
         for k, v in weights.items():
             w = F.when(F.col("source").eqNullSafe(F.lit(k)), F.lit(float(v))).otherwise(w)
     n = n.withColumn("w", w)
-    sums = n.agg(F.sum("n").cast("double").alias("all_n"), F.sum("w").alias("all_w"))
-    wanted = F.lit(float(total)) if total is not None else F.col("all_n")
-    return n.join(F.broadcast(sums)).select("source", "n", F.when(F.col("all_w") > 0, wanted * F.col("w") / F.col("all_w") / F.col("n")).otherwise(0.0).alias("rate"))
+    sums = n.agg(F.sum("n").alias("n"), F.sum("w").alias("w")).first()  # two numbers
+    wanted, all_w = float(total if total is not None else sums["n"] or 0), float(sums["w"] or 0)
+    rate = F.lit(wanted) * F.col("w") / F.lit(all_w) / F.col("n") if all_w > 0 else F.lit(0.0)
+    return n.select("source", "n", rate.alias("rate"))
 
 
 def mix(docs: DataFrame, *, weights: dict[str, float] | None = None, total: float | None = None, seed: int = 42, copy_column: str | None = None) -> DataFrame:
