@@ -366,10 +366,8 @@ def kcore_hist(spark, d):
 # Reductions
 
 
-PURCHASES = "SELECT user_id, event_id FROM events"
-
-for _name, _value, _sql in (("sum", F.col("event_id"), "sum(event_id)::BIGINT"), ("min", F.col("value"), "min(value)"), ("max", F.col("value"), "max(value)"), ("and", F.col("value") >= 0, "bool_and(value >= 0)"), ("or", F.col("event_type") == "purchase", "bool_or(event_type = 'purchase')")):
-    query(f"reduce_{_name}", f"SELECT {_sql} AS value FROM events")(lambda spark, d, n=_name, v=_value: red.reduce(user_events(spark, d), n, v))
+for _name, _value, _sql in (("sum", "event_id", "sum(event_id)::BIGINT"), ("min", "value", "min(value)"), ("max", "value", "max(value)"), ("and", "value >= 0", "bool_and(value >= 0)"), ("or", "event_type = 'purchase'", "bool_or(event_type = 'purchase')")):
+    query(f"reduce_{_name}", f"SELECT {_sql} AS value FROM events")(lambda spark, d, n=_name, v=_value: red.reduce(user_events(spark, d), n, F.expr(v)))
 
 
 @query("reduce_map", "SELECT user_id AS key, sum(event_id)::BIGINT AS value FROM events GROUP BY user_id")
