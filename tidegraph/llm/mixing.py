@@ -62,7 +62,7 @@ def mix(docs: DataFrame, *, weights: dict[str, float] | None = None, total: floa
     """
     names = docs.columns
     r = rates(docs, weights, total).select(F.col("source").alias("__s"), "rate")
-    draws = F.ceil(F.col("rate") / STEP).cast("int")
+    draws = F.greatest(F.ceil(F.col("rate") / STEP).cast("int"), F.lit(1))
     mean = F.col("rate") / draws
     # Distribution of one draw, one array for a source: (term, sum so far) folded over 1..TERMS.
     first = F.struct(F.exp(-mean).alias("p"), F.array(F.exp(-mean)).alias("c"))
