@@ -33,6 +33,10 @@ GRAM = 20
 #: Places of one anchor above which its windows are compared by a distributed
 #: aggregate, not in one task.
 HEAVY = 100_000
+#: Counters of a task's summary of its anchors, and the share of all anchors that makes one hot.
+COUNTERS = 4_000
+HOT_SHARE = 1 / 2_000
+SALTS = 1 << 20
 BLOCK = 1 << 19
 #: Contexts that are classed at once.
 PENDING = 40_000
@@ -93,7 +97,44 @@ def same_text() -> Column:
     return (F.col("uid") == F.col("u")) & (F.col("th") - F.col("t") == 0)
 
 
-def anchors(work: DataFrame, length: int) -> DataFrame:
+def frequent(h: np.ndarray, c: np.ndarray, counters: int = COUNTERS) -> tuple[np.ndarray, np.ndarray]:
+    """A Misra-Gries summary of hashes ``h`` with counts ``c``: at most ``counters``
+    of them, with counts too low by at most a ``counters + 1``-th of all."""
+    h, at = np.unique(h, return_inverse=True)
+    c = np.bincount(at, c, len(h)).astype("i8")
+    if len(c) > counters:
+        c = c - np.partition(c, -counters - 1)[-counters - 1]
+    return h[c > 0], c[c > 0]
+
+
+def hot_anchors(work: DataFrame, length: int, heavy: int, counters: int = COUNTERS, share: float = HOT_SHARE) -> np.ndarray:
+    """Anchors with over half of ``heavy`` places that also have a ``share`` of all:
+    every one above ``share``, and at most 1 / (share - 1 / (counters + 1)) of them,
+    which is 4000, whatever the size of the table. Tasks send summaries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h, c, new, waiting, total = np.empty(0, "u8"), np.empty(0, "i8"), [], 0, 0
+        for batch in batches:
+            texts = batch.column(0).cast(pa.binary())
+            for i in range(batch.num_rows):
+                new.append(minimizers(np.frombuffer(texts[i].as_buffer(), "u1"), length)[1])
+                waiting += len(new[-1])
+                if waiting >= BLOCK:
+                    h, c = frequent(np.concatenate([h, *new]), np.concatenate([c, np.ones(waiting, "i8")]), counters)
+                    new, waiting, total = [], 0, total + waiting
+        h, c = frequent(np.concatenate([h, *new]), np.concatenate([c, np.ones(waiting, "i8")]), counters)
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([total + waiting], pa.int64())], names=["h", "c"])
+        yield pa.RecordBatch.from_arrays([pa.array(h.view("i8")), pa.array(c)], names=["h", "c"])
+
+    sums = materialize(work.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "frequent-anchors")
+    total = sum(r["c"] for r in sums.where("h is null").collect())  # one row at most
+    least = max(heavy / 2, total * (share - 1 / (counters + 1)))
+    return np.array([r["h"] for r in sums.where(F.col("h").isNotNull() & (F.col("c") > least)).collect()], "i8").view("u8")
+
+
+def anchors(work: DataFrame, length: int, hot: np.ndarray) -> DataFrame:
+    """Each anchor's hash and place; ``salt`` is 0, or for ``hot`` ones a number above that spreads them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(2).cast(pa.binary())
@@ -105,9 +146,11 @@ def anchors(work: DataFrame, length: int) -> DataFrame:
                     ps.append(p)
                     ids.append(np.full(len(p), batch.column(0)[i].as_py(), "i8"))
                     ths.append(np.full(len(p), batch.column(1)[i].as_py(), "i8"))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view("i8")), *(pa.array(np.concatenate(x)) for x in (ids, ths)), pa.array(np.concatenate(ps).astype("i4"))], names=["h", "uid", "th", "pos"])
+                h, uid, th, p = map(np.concatenate, (hs, ids, ths, ps))
+                salt = np.where(np.isin(h, hot), 1 + (uid + p) % SALTS, 0).astype("i4")
+                yield pa.RecordBatch.from_arrays([pa.array(h.view("i8")), pa.array(salt), pa.array(uid), pa.array(th), pa.array(p.astype("i4"))], names=["h", "salt", "uid", "th", "pos"])
 
-    return work.select("uid", "th", "text").mapInArrow(run, "h long, uid long, th long, pos int")
+    return work.select("uid", "th", "text").mapInArrow(run, "h long, salt int, uid long, th long, pos int")
 
 
 def contexts(work: DataFrame, places: DataFrame, length: int) -> DataFrame:
@@ -242,11 +285,12 @@ def heavy_spans(ctx: DataFrame, length: int, heavy: int) -> DataFrame:
     """
     ctx = materialize(ctx, "common-contexts")
     place = F.struct("uid", "th", "pos")
-    firsts = ctx.groupBy(F.col("before").alias("b"), F.col("after").alias("a")).agg(F.min(place).alias("p"))
-    firsts = materialize(firsts.withColumn("n", F.count("*").over(Window.partitionBy(F.substring("a", 1, GRAM)))), "first-contexts")
+    firsts = materialize(ctx.groupBy(F.col("before").alias("b"), F.col("after").alias("a")).agg(F.min(place).alias("p")), "first-contexts")
+    anchor = F.substring("a", 1, GRAM)
+    sizes = materialize(firsts.groupBy(anchor.alias("g")).agg(F.count("*").alias("n")), "context-counts")
     whole = ctx.join(firsts, (F.col("before") == F.col("b")) & (F.col("after") == F.col("a"))).where((place > F.col("p")) & (F.length("before") + F.length("after") >= length))
     out = whole.select("uid", "th", (F.col("pos") - F.length("before")).cast("long").alias("lo"), (F.col("pos") + F.length("after")).cast("long").alias("hi"))
-    different = firsts.select(F.col("b").alias("before"), F.col("a").alias("after"), "p.uid", "p.th", "p.pos", "n")
+    different = firsts.join(sizes, anchor == F.col("g")).select(F.col("b").alias("before"), F.col("a").alias("after"), "p.uid", "p.th", "p.pos", "n")
     out = out.unionByName(light_spans(different.where(F.col("n") <= heavy).drop("n"), length))
     if different.where(F.col("n") > heavy).isEmpty():
         return out
@@ -312,8 +356,9 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, with_text: bool = F
     work.write.bucketBy(n, "uid").option("path", fresh_path(spark, "suffix-texts")).option("compression", "zstd").saveAsTable(name)
     work = spark.table(name)
 
-    counted = anchors(work, length).withColumn("n", F.count("*").over(Window.partitionBy("h"))).where("n > 1")
-    places = materialize(counted.select("uid", "th", "pos", (F.col("n") > heavy).alias("heavy")), "places")
+    # Hot anchors repeat, so their places need no count and are spread; the heavy way takes them.
+    counted = anchors(work, length, hot_anchors(work, length, heavy)).withColumn("n", F.count("*").over(Window.partitionBy("h", "salt"))).where("n > 1 or salt > 0")
+    places = materialize(counted.select("uid", "th", "pos", ((F.col("n") > heavy) | (F.col("salt") > 0)).alias("heavy")), "places")
     spans = light_spans(contexts(work, places.where("not heavy"), length), length)
     if not places.where("heavy").isEmpty():
         spans = spans.unionByName(heavy_spans(contexts(work, places.where("heavy"), length), length, heavy))
