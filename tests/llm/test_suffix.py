@@ -1,10 +1,11 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from tidegraph.llm.deepshallow import deep_shallow
-from tidegraph.llm.suffix_dedup import remove_repeats
+from tidegraph.llm.suffix_dedup import frequent, remove_repeats
 
 
 def plain(rows, length=100):
@@ -52,3 +53,15 @@ def test_texts_and_odd_rows(spark):
     assert got.columns == ["doc_id", "text", "uid"]
     assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, long, "x"), (2, "p", "y"), (2, "", "y"), (None, "", "z"), (3, "short", None)], key=str)
     assert remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_frequent_keeps_large_shares():
+    rng = np.random.default_rng(4)
+    h, c = np.empty(0, "u8"), np.empty(0, "i8")
+    total, own = 0, 0
+    for _ in range(20):
+        new = np.concatenate([rng.integers(10, 1 << 60, 900, dtype="u8"), np.full(100, 7, "u8")])
+        total, own = total + len(new), own + 100
+        h, c = frequent(np.concatenate([h, new]), np.concatenate([c, np.ones(len(new), "i8")]), 50)
+        assert len(h) <= 50
+    assert own - total / 51 <= dict(zip(h.tolist(), c.tolist(), strict=True))[7] <= own
