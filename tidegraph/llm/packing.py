@@ -153,10 +153,12 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
 def place(pieces: DataFrame, *, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to rows that have ``doc_id, piece, length``.
 
-    A hash of ids deals pieces to shards of about ``shard_pieces``, whose
-    number follows the input, and each is packed alone: a shard ends with
-    few bins that aren't full, so the loss against one global packing is small
-    and doesn't grow. Full pieces take a sequence each.
+    A hash of ids and of the row's place in the written pieces deals pieces to
+    shards of about ``shard_pieces``, whose number follows the input, and each
+    is packed alone: a shard ends with few bins that aren't full, so the loss
+    against one global packing is small and doesn't grow. The place spreads rows
+    that are wholly alike, such as many without an id, and is the same when a task
+    is run again. Full pieces take a sequence each.
     """
     spark = pieces.sparkSession
     path = fresh_path(spark, "pieces")
@@ -172,7 +174,7 @@ def place(pieces: DataFrame, *, capacity: int = CAPACITY, shard_pieces: int = SH
         return rows[names].assign(sequence_id=(int(key[0]) << 32) + bins, offset=offsets)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema if f.name in names) + ", sequence_id long, offset long"
-    keyed = pieces.select(*names, F.pmod(F.xxhash64("doc_id", "piece", "length"), F.lit(shards)).alias("__shard"))
+    keyed = pieces.select(*names, F.pmod(F.xxhash64("doc_id", "piece", "length", F.monotonically_increasing_id()), F.lit(shards)).alias("__shard"))
     return keyed.groupBy("__shard").applyInPandas(pack, schema)
 
 
