@@ -69,6 +69,8 @@ def test_warc_rows(spark):
         assert (got[i]["payload_bytes"], got[i]["payload_digest"]) == (len(p), warc.digest32(p))
     assert (got[1]["record_type"], got[1]["refers_to"]) == ("revisit", 2) and (got[3]["record_type"], got[3]["refers_to"]) == ("revisit", 4)
     assert all(got[i]["record_type"] == "response" and got[i]["refers_to"] is None for i in (2, 4, 5, None, 7))
+    again = warc.round_trip(spark.createDataFrame([(1, "u", "x"), (2, "u", "x"), (2, "u", "x")], "page_id long, url string, html string")).collect()
+    assert sorted((r["page_id"], r["record_type"], r["refers_to"] or 0) for r in again) == [(1, "revisit", 2), (2, "response", 0), (2, "response", 0)]
     assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 

@@ -165,8 +165,8 @@ def with_references(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """``pages(page_id, url, html)`` -> ``(page_id, url, payload, digest, refers_to)``.
 
     Of equal payloads of at least ``min_bytes`` bytes, that with the largest
-    page_id is the response (a null id is the smallest; of rows that also share
-    the id, one is); the others refer to it.
+    page_id is the response (a null id is the smallest); the others refer to it.
+    Rows that share that id too, being the same page again, are responses as well.
     """
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"), F.sha1(payload).alias("sha"))
