@@ -49,6 +49,19 @@ def test_mixing_is_its_sql(spark):
     assert sorted(map(tuple, got.collect())) == sorted(db.sql(mixing.oracle()).fetchall())
 
 
+def test_mixing_gives_whole_documents(spark, monkeypatch):
+    db = duckdb.connect()
+    db.sql("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
+    got = mixing.op6_poisson_mixing_documents(spark, "/root/testdata/sf0.001")
+    assert got.columns == ["doc_id", "text", "lang", "source", "n_chars", "copy"]
+    assert sorted(map(tuple, got.collect())) == sorted(db.sql(mixing.oracle_documents()).fetchall())
+    # The keys are those of mixed documents: texts are shuffled and written too.
+    written = []
+    monkeypatch.setattr(mixing, "materialize", lambda df, name: written.append(df.columns) or df)
+    mixing.op6_poisson_mixing(spark, "/root/testdata/sf0.001")
+    assert written == [got.columns]
+
+
 def test_mixing_weights(spark):
     docs = spark.range(20000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10 < 9, "a").otherwise(None).alias("source"), F.lit("t").alias("rate"))
     n = {r["source"]: r["count"] for r in mixing.mix(docs, weights={"a": 1.0, None: 3.0}).groupBy("source").count().collect()}

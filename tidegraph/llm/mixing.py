@@ -14,12 +14,14 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegraph.llm.common import documents
+from tidegraph.llm.common import documents, materialize
 
 #: Largest mean of one draw; a larger rate is the sum of several independent draws.
 STEP = 16.0
 #: Entries of the distribution of one draw: beyond them is less than 2**-53.
 TERMS = 90
+#: Up to so many sources (under 1 KB each) are broadcast, so that documents move once.
+BROADCAST_SOURCES = 4096
 
 
 def _uniform(*parts: Column) -> Column:
@@ -58,7 +60,7 @@ def mix(docs: DataFrame, *, weights: dict[str, float] | None = None, total: floa
     repeat a doc_id draw alike; null ids draw as the empty text does. Texts play
     no part. An empty table gives no rows. The hottest source costs no more than
     others: counts are combined before they move, and the few rows of
-    ``rates`` are joined back by a join that AQE can split.
+    ``rates`` are broadcast, or, of many sources, joined back by a join that AQE can split.
     """
     names = docs.columns
     r = rates(docs, weights, total).select(F.col("source").alias("__s"), "rate")
@@ -71,6 +73,8 @@ def mix(docs: DataFrame, *, weights: dict[str, float] | None = None, total: floa
         lambda a, k: F.struct((a["p"] * mean / k).alias("p"), F.concat(a["c"], F.array(F.element_at(a["c"], -1) + a["p"] * mean / k)).alias("c")),
     )["c"]
     r = r.where("rate > 0").select("__s", draws.alias("__draws"), cdf.alias("__cdf"))
+    if r.count() <= BROADCAST_SOURCES:
+        r = F.broadcast(r)
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     u = lambda j: _uniform(F.lit(str(seed)), F.lit("count"), key, j.cast("string"))
     # The count of a draw is the number of sums that lie below the hashed number.
@@ -83,9 +87,14 @@ def mix(docs: DataFrame, *, weights: dict[str, float] | None = None, total: floa
     return out.select(*names, *([F.col("__copy").alias(copy_column)] if copy_column else []))
 
 
+def op6_poisson_mixing_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The copies of all documents: whole rows, texts included, and the copy's number."""
+    return mix(documents(spark, sf_dir), copy_column="copy")
+
+
 def op6_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The copies of all documents, without their texts: the key of each copy."""
-    return mix(documents(spark, sf_dir).select("doc_id", "source", "lang", "n_chars"), copy_column="copy").select("doc_id", "source", "n_chars", "copy")
+    """The keys of all copies, read from the mixed documents, which are written as whole rows."""
+    return materialize(op6_poisson_mixing_documents(spark, sf_dir), "mixed").select("doc_id", "source", "n_chars", "copy")
 
 
 def oracle(seed: int = 42) -> str:
@@ -102,3 +111,8 @@ x AS (SELECT doc_id, source, n_chars, cdf, unnest(range(1, draws + 1)) AS j FROM
 y AS (SELECT doc_id, source, n_chars, len(list_filter(cdf, lambda v: v < {u}))::INT AS k FROM x),
 z AS (SELECT doc_id, source, n_chars, sum(k)::INT AS n FROM y GROUP BY ALL)
 SELECT doc_id, source, n_chars, unnest(range(0, n))::INT AS copy FROM z"""
+
+
+def oracle_documents(seed: int = 42) -> str:
+    """As ``oracle``, with whole rows; doc_id is a key of the tables it is for."""
+    return f"SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, o.copy FROM ({oracle(seed)}) o JOIN documents d ON d.doc_id = o.doc_id"

@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_quality_rules": quality_rules.op4_quality_rules,
         "op5_embedding_near_dedup": embedding_dedup.op5_embedding_near_dedup,
         "op6_poisson_mixing": mixing.op6_poisson_mixing,
+        "op6_poisson_mixing_documents": mixing.op6_poisson_mixing_documents,
         "op7_warc_round_trip": warc.op7_warc_round_trip,
         "op8_language_id": language_id.op8_language_id,
         "op9_quality_classifier": quality_classifier.op9_quality_classifier,
@@ -25,4 +26,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_poisson_mixing": mixing.oracle()}
+    return {"op6_poisson_mixing": mixing.oracle(), "op6_poisson_mixing_documents": mixing.oracle_documents()}
