@@ -36,8 +36,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents and their places in sequences."""
-    return packing.pack_documents(docs, with_ids=False)
+    """Pieces of documents with their token ids and their places in sequences."""
+    return packing.pack_documents(docs)
 
 
 STAGES = [

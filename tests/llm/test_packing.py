@@ -5,7 +5,8 @@ import numpy as np
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidegraph.llm.packing import ChunkEncoder, pack_documents, place, sum_of_squares, tokenizer_path
+from tidegraph.llm import packing
+from tidegraph.llm.packing import ChunkEncoder, pack_documents, place, sum_of_squares, tokenize_pieces, tokenizer_path
 
 TEXTS = ["", None, "a b", "Don't STOP 'll", "Σας Σ ç", "x <|endoftext|> y", "1 234.5!!", "w\x0bq\x1fz\x85w", "ok " * 5000]
 
@@ -77,3 +78,15 @@ def test_equal_rows_are_spread(spark):
     rows = place(pieces, shard_pieces=200).groupBy((F.col("sequence_id") / (1 << 32)).cast("long").alias("shard")).agg(F.count("*").alias("n"), F.countDistinct("sequence_id").alias("m")).collect()
     assert sum(r["n"] for r in rows) == 4000 and len(rows) == 20 and max(r["n"] for r in rows) < 400
     assert all(r["m"] == -(-r["n"] // 2) for r in rows)
+
+
+def test_op1_digests_are_of_packed_ids(spark, monkeypatch):
+    sf = "/root/testdata/sf0.001"
+    want = pack_documents(spark.read.parquet(f"{sf}/documents.parquet")).drop("ids")
+    got = packing.op1_best_fit_packing(spark, sf)
+    assert got.schema == want.schema and sorted(got.collect()) == sorted(want.collect())
+    # The digests are of the ids that placement is given.
+    cut = tokenize_pieces(spark.read.parquet(f"{sf}/documents.parquet")).withColumn("ids", F.expr("slice(ids, 1, 1)"))
+    monkeypatch.setattr(packing, "tokenize_pieces", lambda docs, **k: cut)
+    rows = packing.op1_best_fit_packing(spark, sf).select("length", "ids_crc32").distinct().collect()
+    assert {tuple(r) for r in rows} == {(1, zlib.crc32(np.array(r["ids"], "<u4").tobytes())) for r in cut.collect()}

@@ -1,3 +1,7 @@
+import zlib
+
+import numpy as np
+
 import corpus_pipeline
 from tidegraph.llm.common import documents, materialize
 
@@ -23,3 +27,15 @@ def test_stages(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_packed_sequences_hold_ids(spark):
+    docs = documents(spark, SF).limit(60)
+    rows = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    sequences = {}
+    for r in sorted(rows, key=lambda r: (r["sequence_id"], r["offset"])):
+        tokens = sequences.setdefault(r["sequence_id"], [])
+        assert len(tokens) == r["offset"] and len(r["ids"]) == r["length"]
+        assert zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"]
+        tokens += r["ids"]
+    assert sum(x.count(0) for x in sequences.values()) >= 60

@@ -14,8 +14,8 @@ from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -109,7 +109,8 @@ def tokenize_pieces(docs: DataFrame, *, tokenizer: str | None = None, capacity:
                 cols = list(zip(*rows, strict=True)) if rows else [()] * 6
                 out = [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[2:5])]
                 if with_ids:
-                    out.append(pa.array([np.frombuffer(c, "<u4").astype("i4") for c in cols[5]], pa.list_(pa.int32())))
+                    ends = np.cumsum([0, *cols[3]], dtype="i4")
+                    out.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(cols[5]), "<u4").astype("i4"))))
                 yield pa.RecordBatch.from_arrays(out, names=names)
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
@@ -150,7 +151,17 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
     return bins, offsets
 
 
-def place(pieces: DataFrame, *, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES) -> DataFrame:
+def digested(packed: pa.Table) -> pa.Table:
+    """``packed`` with ``length`` and ``ids_crc32`` taken anew from its ids, and without the ids."""
+    ids = packed["ids"].combine_chunks()
+    raw, at = memoryview(ids.values.to_numpy().astype("<i4")).cast("B"), ids.offsets.to_numpy()
+    new = {"length": np.diff(at).astype("i8"), "ids_crc32": np.array([zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(at, at[1:], strict=False)], "i8")}
+    for name, values in new.items():
+        packed = packed.set_column(packed.schema.get_field_index(name), name, pa.array(values))
+    return packed.drop_columns(["ids"])
+
+
+def place(pieces: DataFrame, *, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES, digest: bool = False) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to rows that have ``doc_id, piece, length``.
 
     A hash of ids and of the row's place in the written pieces deals pieces to
@@ -158,7 +169,8 @@ def place(pieces: DataFrame, *, capacity: int = CAPACITY, shard_pieces: int = SH
     is packed alone: a shard ends with few bins that aren't full, so the loss
     against one global packing is small and doesn't grow. The place spreads rows
     that are wholly alike, such as many without an id, and is the same when a task
-    is run again. Full pieces take a sequence each.
+    is run again. Full pieces take a sequence each. ``digest``: once placed, the ids
+    are left out, and their length and crc32 are taken from them, in the same task.
     """
     spark = pieces.sparkSession
     path = fresh_path(spark, "pieces")
@@ -168,14 +180,15 @@ def place(pieces: DataFrame, *, capacity: int = CAPACITY, shard_pieces: int = SH
     shards = max(1, -(-n // shard_pieces))
     names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
 
-    def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
-        bins, offsets = sum_of_squares(rows["length"].to_numpy("i8"), capacity)
-        return rows[names].assign(sequence_id=(int(key[0]) << 32) + bins, offset=offsets)
+    def pack(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.take(pc.sort_indices(rows, sort_keys=[("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])).select(names)
+        bins, offsets = sum_of_squares(rows["length"].to_numpy(), capacity)
+        rows = rows.append_column("sequence_id", pa.array((key[0].as_py() << 32) + bins)).append_column("offset", pa.array(offsets))
+        return digested(rows) if digest else rows
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema if f.name in names) + ", sequence_id long, offset long"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema if f.name in names and not (digest and f.name == "ids")) + ", sequence_id long, offset long"
     keyed = pieces.select(*names, F.pmod(F.xxhash64("doc_id", "piece", "length", F.monotonically_increasing_id()), F.lit(shards)).alias("__shard"))
-    return keyed.groupBy("__shard").applyInPandas(pack, schema)
+    return keyed.groupBy("__shard").applyInArrow(pack, schema)
 
 
 def pack_documents(docs: DataFrame, *, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = 0, with_ids: bool = True, shard_pieces: int = SHARD_PIECES) -> DataFrame:
@@ -189,4 +202,5 @@ def pack_documents(docs: DataFrame, *, tokenizer: str | None = None, capacity: i
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(documents(spark, sf_dir), with_ids=False)
+    """The place of each piece, and the digest of the ids that are packed there."""
+    return place(tokenize_pieces(documents(spark, sf_dir)), digest=True)
