@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tidegraph.fixtures import T0, T1, T2, T3, tiny
 from tidegraph.graph import running_sum
+from tidegraph.operators import transforms
 from tidegraph.plans.bc import betweenness
 from tidegraph.plans.bfs import bfs
 from tidegraph.plans.kcore import kcore
@@ -78,3 +79,17 @@ def test_running_sum_over_blocks(spark):
     df = spark.range(100).withColumn("v", F.col("id") % 7)
     got = column(running_sum(df, "id", F.col("v"), "s", block=8), "s")
     assert got == [sum(i % 7 for i in range(k)) for k in range(100)]
+
+
+def test_nearest_point_is_never_too_far(spark):
+    places = [(1, 0.0, 0.0), (2, 3.0, 4.0), (3, 3.0, 4.0), (4, 5000.0, -7000.0), (5, float("nan"), 0.0), (6, None, 1.0), (7, float("inf"), 0.0)]
+    asked = [(10, 0.4, 0.1), (11, 2000.0, 0.0), (12, 4000.0, -6000.0), (13, -90000.0, 90000.0), (14, None, 1.0), (15, 3.0, 5.0)]
+    points, queries = spark.createDataFrame(places, "id long, x double, y double"), spark.createDataFrame(asked, "qid long, qx double, qy double")
+    got = {r["qid"]: (r["id"], r["distance"]) for r in transforms.nearest_point(points, queries, cell=1.0).collect()}
+    assert len(got) == 6 and got.pop(14) == (None, None)
+    for q, x, y in asked[:4] + asked[5:]:
+        d, i = min((((x - a) ** 2 + (y - b) ** 2) ** 0.5, i) for i, a, b in places[:4])
+        assert got[q] == (i, pytest.approx(d))
+    near = {r["qid"]: r["id"] for r in transforms.nearest_point(points, queries, cell=1.0, within=3.0).collect()}
+    assert near == {10: 1, 11: None, 12: None, 13: None, 14: None, 15: 2}
+    assert {r["id"] for r in transforms.nearest_point(points.where("false"), queries, cell=1.0).collect()} == {None}

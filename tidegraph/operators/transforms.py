@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegraph.graph import Graph, running_sum
+from tidegraph.store import materialize
 
 
 def symmetrize(graph: Graph) -> Graph:
@@ -64,21 +67,39 @@ def remove_vertices(graph: Graph, ids: DataFrame) -> Graph:
     return Graph(graph.vertices.join(gone, F.col("id") == F.col("__gone"), "left_anti"), edges)
 
 
-def nearest_point(points: DataFrame, queries: DataFrame, *, cell: float) -> DataFrame:
+def nearest_point(points: DataFrame, queries: DataFrame, *, cell: float, within: float | None = None) -> DataFrame:
     """``queries(qid, qx, qy)`` -> ``(qid, id, distance)``: the nearest of
-    ``points(id, x, y)`` within ``cell``, ties by smaller id; null where none is.
+    ``points(id, x, y)``, ties by smaller id; null where there are no points, or,
+    if ``within`` is given, none as near as that. Null, NaN and infinite coordinates have no distance.
 
-    Points and queries meet by grid cells of that size: a query looks at its own
-    and the eight around it, not at all points.
+    Points and queries meet by grid cells: a query looks at its own and the eight
+    around it, not at all points. What is found within the size of a cell is the
+    nearest; the other queries look again at cells of twice the size, until one
+    look takes in all points.
     """
-    at = lambda c: F.floor(F.col(c) / cell).cast("long")
-    own = points.select("id", "x", "y", at("x").alias("cx"), at("y").alias("cy"))
-    steps = lambda c, n: F.explode(F.array(*(at(c) + d for d in (-1, 0, 1)))).alias(n)
-    asked = queries.select("qid", "qx", "qy", steps("qx", "cx")).select("*", steps("qy", "cy"))
-    d = F.sqrt((F.col("x") - F.col("qx")) ** 2 + (F.col("y") - F.col("qy")) ** 2)
-    near = asked.join(own, ["cx", "cy"]).withColumn("distance", d).where(F.col("distance") <= cell)
-    best = near.groupBy("qid").agg(F.min(F.struct("distance", "id")).alias("best"))
-    return queries.select("qid").join(best, "qid", "left").select("qid", F.col("best.id").alias("id"), F.col("best.distance").alias("distance"))
+    fine = lambda x, y: (F.abs(x) < math.inf) & (F.abs(y) < math.inf)
+    points = points.where(fine("x", "y"))
+    ends = lambda df, x, y: df.agg(F.min(x), F.max(x), F.min(y), F.max(y)).first()
+    a, b = ends(points, "x", "y"), ends(queries.where(fine("qx", "qy")), "qx", "qy")
+    last = 0.0 if a[0] is None or b[0] is None else math.hypot(max(a[1], b[1]) - min(a[0], b[0]), max(a[3], b[3]) - min(a[2], b[2]))
+    last = last if within is None else min(last, within)
+    left, found, size = queries.where(fine("qx", "qy")).select("qid", "qx", "qy"), None, cell
+    while True:
+        at = lambda c, size=size: F.floor(F.col(c) / size).cast("long")
+        own = points.select("id", "x", "y", at("x").alias("cx"), at("y").alias("cy"))
+        steps = lambda c, n, at=at: F.explode(F.array(*(at(c) + d for d in (-1, 0, 1)))).alias(n)
+        asked = left.select("qid", "qx", "qy", steps("qx", "cx")).select("*", steps("qy", "cy"))
+        d = F.sqrt((F.col("x") - F.col("qx")) ** 2 + (F.col("y") - F.col("qy")) ** 2)
+        near = asked.join(own, ["cx", "cy"]).withColumn("distance", d).where(F.col("distance") <= (size if within is None else min(size, within)))
+        best = materialize(near.groupBy("qid").agg(F.min(F.struct("distance", "id")).alias("best")), "nearest")
+        found = best if found is None else found.unionAll(best)
+        if size >= last:
+            break
+        left = materialize(left.join(best, "qid", "left_anti"), "unanswered")
+        if left.isEmpty():
+            break
+        size *= 2
+    return queries.select("qid").join(found, "qid", "left").select("qid", F.col("best.id").alias("id"), F.col("best.distance").alias("distance"))
 
 
 def bin_edges(graph: Graph, bits: int, value: Column) -> DataFrame:

@@ -488,11 +488,20 @@ def bin_edges(spark, d):
     return tr.bin_edges(parts(spark, d), 6, F.col("weight"))
 
 
-@query("nearest_point", "WITH q AS (SELECT c_custkey AS qid, c_acctbal AS qx, c_nationkey::DOUBLE AS qy FROM customer), x AS (SELECT q.qid, s_suppkey AS id, sqrt((s_acctbal - qx) ** 2 + (s_nationkey - qy) ** 2) AS distance FROM q LEFT JOIN supplier ON sqrt((s_acctbal - qx) ** 2 + (s_nationkey - qy) ** 2) <= 100), y AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance, id) AS r FROM x) SELECT qid, id, round(distance, 6) AS distance FROM y WHERE r = 1")
-def nearest_point(spark, d):
+def places(spark, d) -> tuple[DataFrame, DataFrame]:
     points = spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("x"), F.col("s_nationkey").cast("double").alias("y"))
     asked = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("qid"), F.col("c_acctbal").alias("qx"), F.col("c_nationkey").cast("double").alias("qy"))
-    return tr.nearest_point(points, asked, cell=100.0).withColumn("distance", F.round("distance", 6))
+    return points, asked
+
+
+@query("nearest_point", "WITH q AS (SELECT c_custkey AS qid, c_acctbal AS qx, c_nationkey::DOUBLE AS qy FROM customer), x AS (SELECT q.qid, s_suppkey AS id, sqrt((s_acctbal - qx) ** 2 + (s_nationkey - qy) ** 2) AS distance FROM q LEFT JOIN supplier ON sqrt((s_acctbal - qx) ** 2 + (s_nationkey - qy) ** 2) <= 100), y AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance, id) AS r FROM x) SELECT qid, id, round(distance, 6) AS distance FROM y WHERE r = 1")
+def nearest_point(spark, d):
+    return tr.nearest_point(*places(spark, d), cell=100.0, within=100.0).withColumn("distance", F.round("distance", 6))
+
+
+@query("nearest_point_any", "WITH q AS (SELECT c_custkey AS qid, c_acctbal AS qx, c_nationkey::DOUBLE AS qy FROM customer), x AS (SELECT q.qid, s_suppkey AS id, sqrt((s_acctbal - qx) ** 2 + (s_nationkey - qy) ** 2) AS distance FROM q LEFT JOIN supplier ON true), y AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance, id) AS r FROM x) SELECT qid, id, round(distance, 6) AS distance FROM y WHERE r = 1")
+def nearest_point_any(spark, d):
+    return tr.nearest_point(*places(spark, d), cell=100.0).withColumn("distance", F.round("distance", 6))
 
 
 @query("gas_sum", PARTS48 + " SELECT id, degree AS od, coalesce(g, 0)::BIGINT AS total, coalesce(g, 0) > 1000 AS active FROM od LEFT JOIN (SELECT dst, sum(src) AS g FROM edges GROUP BY dst) ON dst = id")
