@@ -242,6 +242,16 @@ def pagerank_sql(rounds: int) -> str:
     return ", " + ", ".join(steps)
 
 
+def pagerank_end_sql(rounds: int) -> str:
+    """The state after the round whose changes sum to less than 1e-7, given that it is one of the first ``rounds``."""
+    steps = [pagerank_sql(1)]
+    for k in range(2, rounds + 1):
+        steps.append(f"m{k} AS MATERIALIZED (SELECT e.dst AS id, sum(s.delta / s.od) AS g FROM edges e JOIN s{k - 1} s ON s.id = e.src AND s.act GROUP BY 1)")
+        came = f"(SELECT s.*, 0.85::DOUBLE * coalesce(g, 0) AS d, (SELECT sum(abs(delta)) >= 1e-7 FROM s{k - 1}) AS go FROM s{k - 1} s LEFT JOIN m{k} m ON m.id = s.id)"
+        steps.append(f"s{k} AS MATERIALIZED (SELECT id, od, CASE WHEN go AND abs(d) > 0.01::DOUBLE * score THEN score + d ELSE score END AS score, CASE WHEN go THEN d ELSE delta END AS delta, CASE WHEN go THEN abs(d) > 0.01::DOUBLE * score ELSE act END AS act FROM {came})")
+    return ", ".join(steps)
+
+
 #: Scores are often halves of the last decimal; shifted by a part of it, both engines round them alike.
 SHIFT = 3.3e-12
 
@@ -256,6 +266,19 @@ def pagerank_top20(spark, d):
     return red.top_k(pagerank_5(spark, d), "score")
 
 
+PAGERANK = PARTS48 + pagerank_end_sql(40) + f", r AS (SELECT id, round(score + {SHIFT}::DOUBLE, 11) AS score FROM s40)"
+
+
+@query("pagerank", PAGERANK + " SELECT id, score FROM r")
+def pagerank_end(spark, d):
+    return pagerank(settled_parts(spark, d)).select("id", F.round(F.col("score") + SHIFT, 11).alias("score"))
+
+
+@query("pagerank_end_top20", PAGERANK + " SELECT id, score FROM r ORDER BY score DESC, id LIMIT 20")
+def pagerank_end_top20(spark, d):
+    return red.top_k(pagerank_end(spark, d), "score")
+
+
 def labelled(spark, d) -> DataFrame:
     return wcc(settled_parts(spark, d))
 
