@@ -66,3 +66,13 @@ def test_pagerank_runs_to_its_end(spark):
     assert rounds > 5 and got == pytest.approx(dict(enumerate(score)), abs=2e-11)
     top = [(r["id"], r["score"]) for r in QUERIES["pagerank_end_top20"](spark, SF).collect()]
     assert top == sorted(got.items(), key=lambda x: (-x[1], x[0]))[:20]
+
+
+def test_all_edges_reach_the_queries(spark, db):
+    from tidegraph.queries import PARTS48
+
+    over = {n for n, sql in ORACLES.items() if sql.startswith(PARTS48)}
+    assert len(over) > 40 and {f"{n}_all" for n in over} <= set(QUERIES) and not any(ORACLES[f"{n}_all"].startswith(PARTS48) for n in over)
+    (n,) = db.sql("SELECT sum(n - 1) FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey)").fetchall()[0]
+    assert QUERIES["graph_summary_all"](spark, SF).first()["n_edges"] == n > 4000
+    assert QUERIES["symmetrize_all"](spark, SF).count() > 1.9 * n

@@ -37,18 +37,26 @@ WCC = """, w(v, c) USING KEY (v) AS (SELECT id, id FROM vertices UNION
   SELECT x.b, min(w.c) FROM w JOIN (SELECT DISTINCT a, b FROM u) x ON w.v = x.a JOIN recurring.w r ON r.v = x.b WHERE w.c < r.c GROUP BY x.b)"""
 
 
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+def query(name: str, sql: str | None = None, whole: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query; one over PARTS48 also as ``<name>_all``, over all edges.
+
+    ``whole``: SQL of that, by default ``sql`` over PARTS_ALL.
+    """
+
     def add(f: Query) -> Query:
         QUERIES[name] = f
         if sql is not None:
             ORACLES[name] = sql
+        if sql is not None and sql.startswith(PARTS48):
+            QUERIES[f"{name}_all"] = lambda spark, d: f(spark, d, None)
+            ORACLES[f"{name}_all"] = whole or PARTS_ALL + sql[len(PARTS48) :]
         return f
 
     return add
 
 
-def parts(spark: SparkSession, sf_dir: str) -> Graph:
-    return part_graph(spark, sf_dir)
+def parts(spark: SparkSession, sf_dir: str, quantity: float | None = 48.0) -> Graph:
+    return part_graph(spark, sf_dir, quantity)
 
 
 def out_state(g: Graph) -> DataFrame:
@@ -59,28 +67,28 @@ def out_state(g: Graph) -> DataFrame:
 
 
 @query("graph_summary", PARTS48 + " SELECT count(*) AS n_vertices, sum(degree)::BIGINT AS n_edges, count(*) FILTER (degree > 0) AS n_non_empty, count(*) FILTER (degree = 0) AS n_empty, round(100.0::DOUBLE * count(*) FILTER (degree > 0) / count(*), 6) AS pct_non_empty FROM od")
-def graph_summary(spark, d):
-    return parts(spark, d).summary()
+def graph_summary(spark, d, quantity=48.0):
+    return parts(spark, d, quantity).summary()
 
 
 @query("out_degree", PARTS48 + " SELECT id, degree FROM od")
-def out_degree(spark, d):
-    return parts(spark, d).degrees()
+def out_degree(spark, d, quantity=48.0):
+    return parts(spark, d, quantity).degrees()
 
 
 @query("in_degree", PARTS48 + " SELECT id, count(dst) AS degree FROM vertices LEFT JOIN edges ON dst = id GROUP BY id")
-def in_degree(spark, d):
-    return parts(spark, d).degrees("in")
+def in_degree(spark, d, quantity=48.0):
+    return parts(spark, d, quantity).degrees("in")
 
 
 @query("out_degree_top20", PARTS48 + " SELECT id, degree FROM od ORDER BY degree DESC, id LIMIT 20")
-def out_degree_top20(spark, d):
-    return red.top_k(parts(spark, d).degrees(), "degree")
+def out_degree_top20(spark, d, quantity=48.0):
+    return red.top_k(parts(spark, d, quantity).degrees(), "degree")
 
 
 @query("non_empty", PARTS48 + " SELECT DISTINCT src AS id FROM edges")
-def non_empty(spark, d):
-    return parts(spark, d).non_empty()
+def non_empty(spark, d, quantity=48.0):
+    return parts(spark, d, quantity).non_empty()
 
 
 OFFSET = ", o AS (SELECT id, degree, (sum(degree) OVER (ORDER BY id) - degree)::BIGINT AS off FROM od)"
@@ -88,132 +96,132 @@ PAGES = OFFSET + ", pr AS (SELECT id, off * 4 // 4096 AS first_page, (off + degr
 
 
 @query("csr_offset", PARTS48 + OFFSET + ' SELECT id, degree, off AS "offset" FROM o')
-def csr_offset(spark, d):
-    return parts(spark, d).offsets()
+def csr_offset(spark, d, quantity=48.0):
+    return parts(spark, d, quantity).offsets()
 
 
 @query("page_range", PARTS48 + PAGES + " SELECT id, first_page::BIGINT AS first_page, last_page::BIGINT AS last_page FROM pr")
-def page_range(spark, d):
-    return parts(spark, d).page_ranges()
+def page_range(spark, d, quantity=48.0):
+    return parts(spark, d, quantity).page_ranges()
 
 
 @query("page_vertex_map", PARTS48 + PAGES + " SELECT page::BIGINT AS page, min(id) AS first_vertex, max(id) AS last_vertex FROM (SELECT id, unnest(range(first_page, last_page + 1)) AS page FROM pr) GROUP BY page")
-def page_vertex_map(spark, d):
-    return parts(spark, d).page_vertices()
+def page_vertex_map(spark, d, quantity=48.0):
+    return parts(spark, d, quantity).page_vertices()
 
 
 @query("neighbors", PARTS48 + " SELECT dst FROM edges WHERE src = 64")
-def neighbors(spark, d):
-    return parts(spark, d).neighbors(64)
+def neighbors(spark, d, quantity=48.0):
+    return parts(spark, d, quantity).neighbors(64)
 
 
 # Frontier operators
 
 
 @query("edge_map_all_sum", PARTS48 + " SELECT dst AS id, sum(2.0::DOUBLE * src) AS msg FROM edges GROUP BY dst")
-def edge_map_all_sum(spark, d):
-    g = parts(spark, d)
+def edge_map_all_sum(spark, d, quantity=48.0):
+    g = parts(spark, d, quantity)
     return edge_map(g, g.vertices, message="2.0D * src.id")
 
 
 @query("edge_map_frontier_min", PARTS48 + " SELECT dst AS id, min(src) AS msg FROM edges WHERE src % 3 = 0 GROUP BY dst")
-def edge_map_frontier_min(spark, d):
-    g = parts(spark, d)
+def edge_map_frontier_min(spark, d, quantity=48.0):
+    g = parts(spark, d, quantity)
     return edge_map(g, g.vertices, message="src.id", combine="min", active="src.id % 3 = 0")
 
 
 @query("edge_map_cond", PARTS48 + " SELECT dst AS id, count(*) AS msg FROM edges JOIN od ON od.id = dst WHERE degree > 1 GROUP BY dst")
-def edge_map_cond(spark, d):
-    g = parts(spark, d)
+def edge_map_cond(spark, d, quantity=48.0):
+    g = parts(spark, d, quantity)
     return edge_map(g, out_state(g), message="src.id", combine="count", cond="dst.od > 1")
 
 
 @query("edge_map_in", PARTS48 + " SELECT src AS id, max(dst) AS msg FROM edges GROUP BY src")
-def edge_map_in(spark, d):
-    g = parts(spark, d)
+def edge_map_in(spark, d, quantity=48.0):
+    g = parts(spark, d, quantity)
     return edge_map(g, g.vertices, message="src.id", combine="max", direction="in")
 
 
 @query("edge_map_both", PARTS48 + " SELECT b AS id, sum(a)::BIGINT AS msg FROM u GROUP BY b")
-def edge_map_both(spark, d):
-    g = parts(spark, d)
+def edge_map_both(spark, d, quantity=48.0):
+    g = parts(spark, d, quantity)
     return edge_map(g, g.vertices, message="src.id", direction="both")
 
 
 @query("active_edges", PARTS48 + " SELECT count(*) AS n_active, sum(degree)::BIGINT AS m_active FROM od WHERE id % 5 = 0")
-def active_edges(spark, d):
-    g = parts(spark, d)
+def active_edges(spark, d, quantity=48.0):
+    g = parts(spark, d, quantity)
     return Frontier(g.vertices.where("id % 5 = 0")).edges(g).drop("kind")
 
 
 @query("frontier_kind", PARTS48 + " SELECT k, CASE WHEN count(od.id) + coalesce(sum(degree), 0) > 0.005 * (SELECT sum(degree) FROM od) THEN 'dense' ELSE 'sparse' END AS kind FROM (VALUES (2), (1000000)) t(k) LEFT JOIN od ON od.id % k = 1 GROUP BY k")
-def frontier_kind(spark, d):
-    g = parts(spark, d)
+def frontier_kind(spark, d, quantity=48.0):
+    g = parts(spark, d, quantity)
     kinds = [Frontier(g.vertices.where(F.col("id") % k == 1)).edges(g).select(F.lit(k).alias("k"), "kind") for k in (2, 1000000)]
     return kinds[0].unionAll(kinds[1])
 
 
 @query("vertex_map", PARTS48 + " SELECT id, CASE WHEN degree > 1 THEN degree * 10 ELSE degree END AS od FROM od")
-def vertex_map_query(spark, d):
-    return vertex_map(out_state(parts(spark, d)), {"od": F.col("od") * 10}, F.col("od") > 1)
+def vertex_map_query(spark, d, quantity=48.0):
+    return vertex_map(out_state(parts(spark, d, quantity)), {"od": F.col("od") * 10}, F.col("od") > 1)
 
 
 @query("vertex_filter", PARTS48 + " SELECT id FROM od WHERE degree > 1 AND id % 2 = 0")
-def vertex_filter_query(spark, d):
-    return vertex_filter(out_state(parts(spark, d)), F.col("id") % 2 == 0, F.col("od") > 1)
+def vertex_filter_query(spark, d, quantity=48.0):
+    return vertex_filter(out_state(parts(spark, d, quantity)), F.col("id") % 2 == 0, F.col("od") > 1)
 
 
-def two(spark, d) -> tuple[Frontier, Frontier]:
-    g = parts(spark, d)
+def two(spark, d, quantity=48.0) -> tuple[Frontier, Frontier]:
+    g = parts(spark, d, quantity)
     return Frontier(g.non_empty()), Frontier.of(g.edges, "dst")
 
 
 for _name, _set, _sql in (("union", "union", "UNION"), ("intersect", "intersect", "INTERSECT"), ("except", "minus", "EXCEPT")):
-    query(f"frontier_{_name}", PARTS48 + f" SELECT src AS id FROM edges {_sql} SELECT dst FROM edges")(lambda spark, d, s=_set: (lambda ab: getattr(ab[0], s)(ab[1]).ids)(two(spark, d)))
+    query(f"frontier_{_name}", PARTS48 + f" SELECT src AS id FROM edges {_sql} SELECT dst FROM edges")(lambda spark, d, quantity=48.0, s=_set: (lambda ab: getattr(ab[0], s)(ab[1]).ids)(two(spark, d, quantity)))
 
 
 @query("frontier_xor", PARTS48 + " (SELECT src AS id FROM edges EXCEPT SELECT dst FROM edges) UNION ALL (SELECT dst FROM edges EXCEPT SELECT src FROM edges)")
-def frontier_xor(spark, d):
-    a, b = two(spark, d)
+def frontier_xor(spark, d, quantity=48.0):
+    a, b = two(spark, d, quantity)
     return a.xor(b).ids
 
 
 @query("frontier_count", PARTS48 + " SELECT count(DISTINCT src) AS n FROM edges")
-def frontier_count(spark, d):
-    return two(spark, d)[0].ids.agg(F.count("*").alias("n"))
+def frontier_count(spark, d, quantity=48.0):
+    return two(spark, d, quantity)[0].ids.agg(F.count("*").alias("n"))
 
 
 @query("frontier_activate", PARTS48 + " SELECT src AS id FROM edges UNION SELECT unnest([0, 1, 2])::BIGINT")
-def frontier_activate(spark, d):
-    return two(spark, d)[0].activate(0, 1, 2).ids
+def frontier_activate(spark, d, quantity=48.0):
+    return two(spark, d, quantity)[0].activate(0, 1, 2).ids
 
 
 @query("frontier_contains", PARTS48 + " SELECT id, degree FROM od WHERE id IN (SELECT dst FROM edges)")
-def frontier_contains(spark, d):
-    return two(spark, d)[1].contains(parts(spark, d).degrees())
+def frontier_contains(spark, d, quantity=48.0):
+    return two(spark, d, quantity)[1].contains(parts(spark, d, quantity).degrees())
 
 
 # Kernels
 
 
-def searched(spark, d) -> DataFrame:
-    g = settled_parts(spark, d)
+def searched(spark, d, quantity=48.0) -> DataFrame:
+    g = settled_parts(spark, d, quantity)
     return bfs(g, start_vertex(g))
 
 
 @query("bfs_depth", PARTS48 + BFS + " SELECT v AS id, d::INT AS depth FROM b")
-def bfs_depth(spark, d):
-    return searched(spark, d).select("id", "depth")
+def bfs_depth(spark, d, quantity=48.0):
+    return searched(spark, d, quantity).select("id", "depth")
 
 
 @query("bfs_parent", PARTS48 + BFS + " SELECT y.v AS id, CASE WHEN y.d = 0 THEN y.v ELSE (SELECT min(e.src) FROM edges e JOIN b x ON x.v = e.src WHERE e.dst = y.v AND x.d + 1 = y.d) END AS parent FROM b y")
-def bfs_parent(spark, d):
-    return searched(spark, d).select("id", "parent")
+def bfs_parent(spark, d, quantity=48.0):
+    return searched(spark, d, quantity).select("id", "parent")
 
 
 @query("bfs_level_sizes", PARTS48 + BFS + " SELECT d::INT AS depth, count(*) AS size FROM b GROUP BY d")
-def bfs_level_sizes(spark, d):
-    return searched(spark, d).groupBy("depth").agg(F.count("*").alias("size"))
+def bfs_level_sizes(spark, d, quantity=48.0):
+    return searched(spark, d, quantity).groupBy("depth").agg(F.count("*").alias("size"))
 
 
 @query("bfs_dense", PARTS_ALL + BFS + " SELECT v AS id, d::INT AS depth FROM b")
@@ -223,8 +231,8 @@ def bfs_dense(spark, d):
 
 
 @query("round_metrics", PARTS48 + BFS + " SELECT (d + 1)::INT AS round, 'bfs' AS kind, count(*) AS n_active, sum(degree)::BIGINT AS m_active FROM b JOIN od ON id = v GROUP BY d")
-def round_metrics(spark, d):
-    g, rounds = settled_parts(spark, d), Rounds()
+def round_metrics(spark, d, quantity=48.0):
+    g, rounds = settled_parts(spark, d, quantity), Rounds()
     bfs(g, start_vertex(g), rounds=rounds)
     return rounds.frame(spark).drop("seconds")
 
@@ -257,48 +265,48 @@ SHIFT = 3.3e-12
 
 
 @query("pagerank_5", PARTS48 + pagerank_sql(5) + f" SELECT id, round(score + {SHIFT}::DOUBLE, 11) AS score FROM s5")
-def pagerank_5(spark, d):
-    return pagerank(settled_parts(spark, d), max_rounds=5).select("id", F.round(F.col("score") + SHIFT, 11).alias("score"))
+def pagerank_5(spark, d, quantity=48.0):
+    return pagerank(settled_parts(spark, d, quantity), max_rounds=5).select("id", F.round(F.col("score") + SHIFT, 11).alias("score"))
 
 
 @query("pagerank_top20", PARTS48 + pagerank_sql(5) + ", r AS (SELECT id, round(score + 3.3e-12::DOUBLE, 11) AS score FROM s5) SELECT id, score FROM r ORDER BY score DESC, id LIMIT 20")
-def pagerank_top20(spark, d):
-    return red.top_k(pagerank_5(spark, d), "score")
+def pagerank_top20(spark, d, quantity=48.0):
+    return red.top_k(pagerank_5(spark, d, quantity), "score")
 
 
 PAGERANK = PARTS48 + pagerank_end_sql(40) + f", r AS (SELECT id, round(score + {SHIFT}::DOUBLE, 11) AS score FROM s40)"
 
 
 @query("pagerank", PAGERANK + " SELECT id, score FROM r")
-def pagerank_end(spark, d):
-    return pagerank(settled_parts(spark, d)).select("id", F.round(F.col("score") + SHIFT, 11).alias("score"))
+def pagerank_end(spark, d, quantity=48.0):
+    return pagerank(settled_parts(spark, d, quantity)).select("id", F.round(F.col("score") + SHIFT, 11).alias("score"))
 
 
 @query("pagerank_end_top20", PAGERANK + " SELECT id, score FROM r ORDER BY score DESC, id LIMIT 20")
-def pagerank_end_top20(spark, d):
-    return red.top_k(pagerank_end(spark, d), "score")
+def pagerank_end_top20(spark, d, quantity=48.0):
+    return red.top_k(pagerank_end(spark, d, quantity), "score")
 
 
-def labelled(spark, d) -> DataFrame:
-    return wcc(settled_parts(spark, d))
+def labelled(spark, d, quantity=48.0) -> DataFrame:
+    return wcc(settled_parts(spark, d, quantity))
 
 
 SIZES = PARTS48 + WCC + ", z AS (SELECT c AS label, count(*) AS size FROM w GROUP BY c)"
 
 
 @query("wcc_labels", PARTS48 + WCC + " SELECT v AS id, c AS label FROM w")
-def wcc_labels(spark, d):
-    return labelled(spark, d)
+def wcc_labels(spark, d, quantity=48.0):
+    return labelled(spark, d, quantity)
 
 
 @query("wcc_sizes", SIZES + " SELECT label, size FROM z")
-def wcc_sizes(spark, d):
-    return component_sizes(labelled(spark, d))
+def wcc_sizes(spark, d, quantity=48.0):
+    return component_sizes(labelled(spark, d, quantity))
 
 
 @query("wcc_summary", SIZES + " SELECT count(*) AS n_components, count(*) FILTER (size > 1) AS n_nontrivial, (SELECT label FROM z ORDER BY size DESC, label LIMIT 1) AS largest, max(size) AS largest_size, round(max(size)::DOUBLE / sum(size), 9) AS ratio FROM z")
-def wcc_summary(spark, d):
-    return component_summary(labelled(spark, d))
+def wcc_summary(spark, d, quantity=48.0):
+    return component_summary(labelled(spark, d, quantity))
 
 
 def spmv_sql(rounds: int, weight: str = "2.0::DOUBLE", accumulate: bool = True) -> str:
@@ -310,23 +318,23 @@ def spmv_sql(rounds: int, weight: str = "2.0::DOUBLE", accumulate: bool = True)
 
 
 @query("spmv_1", PARTS48 + spmv_sql(1))
-def spmv_1(spark, d):
-    return spmv(parts(spark, d), rounds=1)
+def spmv_1(spark, d, quantity=48.0):
+    return spmv(parts(spark, d, quantity), rounds=1)
 
 
 @query("spmv_3", PARTS48 + spmv_sql(3))
-def spmv_3(spark, d):
-    return spmv(settled_parts(spark, d), rounds=3)
+def spmv_3(spark, d, quantity=48.0):
+    return spmv(settled_parts(spark, d, quantity), rounds=3)
 
 
 @query("spmv_3_plain", PARTS48 + spmv_sql(3, accumulate=False))
-def spmv_3_plain(spark, d):
-    return spmv(settled_parts(spark, d), rounds=3, accumulate=False)
+def spmv_3_plain(spark, d, quantity=48.0):
+    return spmv(settled_parts(spark, d, quantity), rounds=3, accumulate=False)
 
 
 @query("spmv_weighted", PARTS48 + spmv_sql(2, "e.weight"))
-def spmv_weighted(spark, d):
-    return spmv(settled_parts(spark, d), rounds=2, weight="edge.weight")
+def spmv_weighted(spark, d, quantity=48.0):
+    return spmv(settled_parts(spark, d, quantity), rounds=2, weight="edge.weight")
 
 
 def bc_sql(levels: int) -> str:
@@ -374,16 +382,18 @@ def kcore_sql(steps: int) -> str:
 
 
 KCORE = PARTS48 + kcore_sql(30)
+#: All edges: 88 steps at sf0.1.
+KCORE_ALL = PARTS_ALL + kcore_sql(100)
 
 
-@query("kcore", KCORE + " SELECT id, core::INT AS core FROM t30")
-def kcore_query(spark, d):
-    return kcore(settled_parts(spark, d))
+@query("kcore", KCORE + " SELECT id, core::INT AS core FROM t30", KCORE_ALL + " SELECT id, core::INT AS core FROM t100")
+def kcore_query(spark, d, quantity=48.0):
+    return kcore(settled_parts(spark, d, quantity))
 
 
-@query("kcore_hist", KCORE + " SELECT core::INT AS core, count(*) AS n FROM t30 GROUP BY core")
-def kcore_hist(spark, d):
-    return kcore(settled_parts(spark, d)).groupBy("core").agg(F.count("*").alias("n"))
+@query("kcore_hist", KCORE + " SELECT core::INT AS core, count(*) AS n FROM t30 GROUP BY core", KCORE_ALL + " SELECT core::INT AS core, count(*) AS n FROM t100 GROUP BY core")
+def kcore_hist(spark, d, quantity=48.0):
+    return kcore(settled_parts(spark, d, quantity)).groupBy("core").agg(F.count("*").alias("n"))
 
 
 # Reductions
@@ -448,30 +458,30 @@ def pairwise_sum(spark, d):
 
 
 @query("symmetrize", PARTS48 + " SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges WHERE src <> dst")
-def symmetrize(spark, d):
-    return tr.symmetrize(parts(spark, d)).edges.select("src", "dst")
+def symmetrize(spark, d, quantity=48.0):
+    return tr.symmetrize(parts(spark, d, quantity)).edges.select("src", "dst")
 
 
 @query("transpose", PARTS48 + " SELECT dst AS src, src AS dst FROM edges")
-def transpose(spark, d):
-    return parts(spark, d).transposed().edges.select("src", "dst")
+def transpose(spark, d, quantity=48.0):
+    return parts(spark, d, quantity).transposed().edges.select("src", "dst")
 
 
 @query("permute", PARTS48 + ", n AS (SELECT count(*) AS n FROM vertices) SELECT n - 1 - src AS src, n - 1 - dst AS dst FROM edges, n")
-def permute(spark, d):
-    g = parts(spark, d)
+def permute(spark, d, quantity=48.0):
+    g = parts(spark, d, quantity)
     n = g.vertices.agg(F.count("*").alias("n"))
     return tr.permute(g, g.vertices.join(F.broadcast(n)).select("id", (F.col("n") - 1 - F.col("id")).alias("new_id"))).edges.select("src", "dst")
 
 
 @query("sort_edges", PARTS48 + " SELECT src, dst, weight, row_number() OVER (PARTITION BY src ORDER BY dst, weight)::INT AS pos FROM edges")
-def sort_edges(spark, d):
-    return tr.sort_edges(parts(spark, d), "dst", "weight")
+def sort_edges(spark, d, quantity=48.0):
+    return tr.sort_edges(parts(spark, d, quantity), "dst", "weight")
 
 
 @query("balanced_ranges", PARTS48 + ", o AS (SELECT id, degree + 1 AS w, sum(degree + 1) OVER (ORDER BY id) - degree - 1 AS bef, sum(degree + 1) OVER () AS tot FROM od) SELECT (bef * 8 // tot)::INT AS part, min(id) AS first_id, max(id) AS last_id, sum(w)::BIGINT AS weight FROM o GROUP BY 1")
-def balanced_ranges(spark, d):
-    return tr.balanced_ranges(parts(spark, d), 8)
+def balanced_ranges(spark, d, quantity=48.0):
+    return tr.balanced_ranges(parts(spark, d, quantity), 8)
 
 
 PAIRS = ", p AS (SELECT id AS src, (id * 7 + 3) % (SELECT count(*) FROM vertices) AS dst FROM vertices)"
@@ -483,32 +493,32 @@ def pairs(g: Graph) -> DataFrame:
 
 
 @query("has_edge", PARTS48 + PAIRS + " SELECT src, dst, (src, dst) IN (SELECT (e.src, e.dst) FROM edges e) AS found FROM p")
-def has_edge(spark, d):
-    g = parts(spark, d)
+def has_edge(spark, d, quantity=48.0):
+    g = parts(spark, d, quantity)
     return g.has_edge(pairs(g))
 
 
 @query("add_edges", PARTS48 + PAIRS + " SELECT src, dst FROM edges UNION ALL (SELECT src, dst FROM p EXCEPT SELECT src, dst FROM edges)")
-def add_edges(spark, d):
-    g = parts(spark, d)
+def add_edges(spark, d, quantity=48.0):
+    g = parts(spark, d, quantity)
     return tr.add_edges(g, pairs(g), unique=True).edges.select("src", "dst")
 
 
 @query("remove_edges", PARTS48 + " SELECT src, dst FROM edges WHERE (src, dst) NOT IN (SELECT (src, dst) FROM edges WHERE weight > 49)")
-def remove_edges(spark, d):
-    g = parts(spark, d)
+def remove_edges(spark, d, quantity=48.0):
+    g = parts(spark, d, quantity)
     return tr.remove_edges(g, g.edges.where("weight > 49")).edges.select("src", "dst")
 
 
 @query("remove_vertices", PARTS48 + " SELECT src, dst FROM edges WHERE src % 10 <> 0 AND dst % 10 <> 0")
-def remove_vertices(spark, d):
-    g = parts(spark, d)
+def remove_vertices(spark, d, quantity=48.0):
+    g = parts(spark, d, quantity)
     return tr.remove_vertices(g, g.vertices.where("id % 10 = 0")).edges.select("src", "dst")
 
 
 @query("bin_edges", PARTS48 + " SELECT dst >> 6 AS bin, count(*) AS n, sum(weight) AS total FROM edges GROUP BY 1")
-def bin_edges(spark, d):
-    return tr.bin_edges(parts(spark, d), 6, F.col("weight"))
+def bin_edges(spark, d, quantity=48.0):
+    return tr.bin_edges(parts(spark, d, quantity), 6, F.col("weight"))
 
 
 def places(spark, d) -> tuple[DataFrame, DataFrame]:
@@ -528,12 +538,12 @@ def nearest_point_any(spark, d):
 
 
 @query("gas_sum", PARTS48 + " SELECT id, degree AS od, coalesce(g, 0)::BIGINT AS total, coalesce(g, 0) > 1000 AS active FROM od LEFT JOIN (SELECT dst, sum(src) AS g FROM edges GROUP BY dst) ON dst = id")
-def gas_sum(spark, d):
-    g = parts(spark, d)
+def gas_sum(spark, d, quantity=48.0):
+    g = parts(spark, d, quantity)
     return gather_apply_scatter(g, out_state(g), gather="src.id", apply={"total": F.coalesce("msg", F.lit(0))}, scatter=F.col("total") > 1000)
 
 
 @query("merge_messages", PARTS48 + " SELECT id, degree + coalesce(g, 0) AS od FROM od LEFT JOIN (SELECT dst, count(*) AS g FROM edges GROUP BY dst) ON dst = id")
-def merge_messages(spark, d):
-    g = parts(spark, d)
+def merge_messages(spark, d, quantity=48.0):
+    g = parts(spark, d, quantity)
     return merge(out_state(g), edge_map(g, g.vertices, message="src.id", combine="count"), od=F.col("od") + F.coalesce("msg", F.lit(0)))
