@@ -42,6 +42,17 @@ def test_cells_come_in_order():
     assert d == sorted(d) and len(d) == 49
 
 
+def test_visits_are_the_cells_of_the_traversal():
+    rng = np.random.default_rng(3)
+    index = embedding_dedup.MultiIndex((rng.normal(size=(9, 4)), rng.normal(size=(9, 4))), 1.5)
+    x = rng.normal(size=(20, 8))
+    for da, db, got in zip(*index.distances(x), index.visits(x), strict=True):
+        oa, ob = da.argsort(), db.argsort()
+        a, b = da[oa], db[ob]
+        want = {(int(oa[i]), int(ob[j])) for i, j, d in embedding_dedup.multi_sequence(a, b) if d <= a[0] + b[0] + index.margin}
+        assert {(i, int(j)) for i, js in got.items() for j in js} == want and len(want) > 1
+
+
 def test_mixing_is_its_sql(spark):
     db = duckdb.connect()
     db.sql("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")

@@ -2,9 +2,10 @@
 
 Unit vectors are cut in halves, each half with a codebook of its own; pairs of
 codewords are the cells of a product grid, and every vector lies in one. Each
-vector visits cells in the order of their distance (multi-sequence traversal)
-as far as a margin at which partners at the least similarity are found, and
-cosines in double precision verify what it meets there.
+vector visits all cells within a margin at which partners at the least similarity
+are found, and cosines in double precision verify what it meets there. These
+are the cells that a multi-sequence traversal deals out up to that margin, but
+a range query finds them, grouped by the first codeword and not in the order of distance.
 """
 
 from __future__ import annotations
@@ -55,8 +56,8 @@ class MultiIndex:
     def visits(self, x: np.ndarray) -> Iterator[dict[int, list[int]]]:
         """Of each vector, the cells within the margin: second codewords by the first one.
 
-        In falling closeness: the first codewords in turn, and of each the second
-        ones, until the sum of both distances passes the margin.
+        The first codewords in turn of their distance, and of each the second ones,
+        until the sum of both distances passes the margin.
         """
         a, b = self.distances(x)
         ia, ib = a.argsort(axis=1), b.argsort(axis=1)
