@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from tidegraph.llm.simhash import keep_one, links, near_duplicates
+from tidegraph.llm.simhash import cheapest, keep_one, links, near_duplicates
 
 
 def plain(text):
@@ -51,3 +51,17 @@ def test_documents(spark):
     kept = keep_one(spark.createDataFrame([r for r in rows if r[0] is not None], "doc_id long, text string"))
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted({v[1] for v in want.values()})
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_one_row_of_each_component_stays(spark):
+    rng = np.random.default_rng(6)
+    a, b, c = (" ".join(rng.choice([f"w{i}" for i in range(300)], 80)) for _ in range(3))
+    rows = [(1, a, "x"), (2, a.upper(), "y"), (2, b, "y"), (2, b, "y"), (None, a, None), (None, c, None), (None, c, None), (7, None, "z"), (8, "", "z")]
+    got = keep_one(spark.createDataFrame(rows, "doc_id long, text string, kept_row string"))
+    assert got.columns == ["doc_id", "text", "kept_row"]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, a, "x"), (2, b, "y"), (None, c, None), (7, None, "z")], key=str)
+    assert keep_one(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_blocks_follow_the_cost():
+    assert cheapest(10, 4) == cheapest(1 << 20, 4) == 3 and cheapest(1 << 32, 4) == 2

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidegraph.store import fresh_path, materialize, shared_dir
 
-__all__ = ["bounded", "documents", "fold", "fresh_path", "labels", "materialize", "shared_dir"]
+__all__ = ["bounded", "documents", "fold", "fresh_path", "labels", "materialize", "shared_dir", "spread_join"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,3 +32,21 @@ def bounded(df: DataFrame, key: str, rows: int, seed: int = 7) -> DataFrame:
         return df
     u = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1_000_000))
     return df.where(u < int(1_000_000 * rows / n))
+
+
+def spread_join(big: DataFrame, small: DataFrame, key: str, n: str, how: str = "inner") -> DataFrame:
+    """``big`` joined with ``small`` on ``key`` (unique in ``small``), no task getting the rows of a hot key.
+
+    ``small`` is a written table; its column ``n``, which is dropped, says how many rows of ``big``
+    have each key. Keys with more rows than half an average task has are hot: fewer than two for each
+    shuffle partition, whatever the data, so they are broadcast and their
+    rows stay where they are. The other keys are joined by a shuffle. ``how``: inner or left.
+    """
+    parts = int(big.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total, most = small.agg(F.sum(n), F.max(n)).first()
+    limit = max(1, (total or 0) // (2 * parts))
+    if (most or 0) <= limit:
+        return big.join(small.drop(n), key, how)
+    hot = small.where(F.col(n) > limit).drop(n)
+    rest = big.join(F.broadcast(hot.select(key)), key, "left_anti").join(small.where(F.col(n) <= limit).drop(n), key, how)
+    return big.join(F.broadcast(hot), key).unionByName(rest)

@@ -18,13 +18,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from tidegraph.llm.common import documents, materialize
+from tidegraph.llm.common import documents, materialize, spread_join
 from tidegraph.llm.components import connected_components
 
 BITS = 64
-#: Distinct fingerprints above which two blocks replace three: more replicas of each, far fewer at each anchor.
-WIDE_FROM = 1 << 25
+#: What moving a replica costs, in comparisons of fingerprints.
+REPLICA_COST = 200
 #: Homes of an anchor that one task compares; an anchor with more is dealt to several.
 HOMES = 2048
 
@@ -47,24 +48,27 @@ def fingerprint(text: bytes | None, words: int) -> int:
     return int(np.packbits(total > half, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
-    """``docs(doc_id, text)`` -> ``(doc_id, fp)``: the SimHash of the word shingles,
-    as a signed long.
+def fingerprints(docs: DataFrame, words: int = 4, *others: str) -> DataFrame:
+    """``docs(doc_id, text, ...)`` -> ``(doc_id, fp, ...)``: the SimHash of the word shingles,
+    as a signed long, and the columns ``others``.
 
     A-Z are lower-cased, words are runs without ASCII white space, shingles are
     ``words`` long and counted as often as they occur, each hashed by XXH64 with
     seed 42. A bit is set where more than half of the hashes have it. A text of
-    fewer words is one shingle; null and empty texts have fingerprint 0.
+    fewer words is one shingle; null and empty texts have fingerprint 0. Whole texts
+    count, however long.
     """
+    wanted = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *others)
+    schema = StructType([wanted.schema[0], StructField("fp", LongType()), *wanted.schema[2:]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 fps = np.array([fingerprint(x, words) for x in part.column(1).cast(pa.binary()).to_pylist()], "u8").view("i8")
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps)], names=["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps), *part.columns[2:]], names=schema.names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return wanted.mapInArrow(run, schema)
 
 
 class CoveringCode:
@@ -102,6 +106,27 @@ class CoveringCode:
         return self.masks[radius]
 
 
+def cheapest(n: int, threshold: int) -> int:
+    """Two or three blocks, whichever moves and compares less for ``n`` fingerprints.
+
+    Both find every link. On wider blocks a fingerprint goes to more anchors (at a
+    threshold of 4, 343 against 45), but there are 2^27 anchors a block against 2^17,
+    so far fewer fingerprints meet at each: with three blocks, comparisons grow with
+    n^2 / 2^17, and from some 2^24 fingerprints on they cost more than the replicas that two
+    blocks add. Cost a fingerprint: its replicas, each moved once and compared with the homes of its anchor.
+    """
+
+    def cost(blocks: int) -> float:
+        total = 0.0
+        for _, width in layout(blocks):
+            code = CoveringCode(width)
+            replicas = sum(map(len, code.within(1 + threshold // blocks).values())) / (code.n + 1)
+            total += replicas * (REPLICA_COST + n / 2 ** (width - (code.n + 1).bit_length() + 1))
+        return total
+
+    return min((3, 2), key=cost)
+
+
 def layout(blocks: int) -> list[tuple[int, int]]:
     """(shift, width) of each block."""
     edges = [round(BITS * i / blocks) for i in range(blocks + 1)]
@@ -171,7 +196,7 @@ def links(fps: DataFrame, threshold: int = 4, blocks: int | None = None) -> Data
     """Distinct ``fps(fp)`` -> ``(a, b)``: links of at most ``threshold`` bits that
     have the same components as all such links."""
     if blocks is None:
-        blocks = 3 if fps.count() <= WIDE_FROM else 2
+        blocks = cheapest(fps.count(), threshold)
     met = meetings(fps, threshold, blocks)
     # Homes of a crowded anchor are dealt to several tasks, and its other fingerprints go to each of them.
     heavy = met.where("home").groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > HOMES).select("anchor", F.ceil(F.col("n") / HOMES).cast("int").alias("ways"))
@@ -230,28 +255,36 @@ def near_duplicates(docs: DataFrame, *, words: int = 4, threshold: int = 4, bloc
     Rows that repeat a doc_id each get their row. Other columns are ignored.
     """
     each = materialize(fingerprints(docs, words), "fingerprints")
-    groups = materialize(each.groupBy("fp").agg(F.min("doc_id").alias("low")), "groups")
-    rooted = connected_components(links(groups, threshold, blocks))
-    roots = groups.join(rooted, groups["fp"] == rooted["id"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    least = roots.groupBy("root").agg(F.min("low").alias("component_id"))
-    of = materialize(roots.join(least, "root").select("fp", "component_id"), "components")
-    return each.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return _classes(each, threshold, blocks).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
 
+def _classes(each: DataFrame, threshold: int, blocks: int | None) -> DataFrame:
+    """Written ``each(doc_id, fp, ...)`` with ``component_id`` and ``root``, its component's own number."""
+    groups = materialize(each.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")), "groups")
+    rooted = materialize(connected_components(links(groups, threshold, blocks)), "rooted")
+    # Only fingerprints with a link have to learn their component's least id.
+    linked = materialize(groups.join(rooted, groups["fp"] == rooted["id"]).select("fp", "low", "root"), "linked")
+    least = materialize(linked.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("n")), "least")
+    known = spread_join(linked.select("fp", "root"), least, "root", "n").select(F.col("fp").alias("f"), F.col("root").alias("r"), F.col("component_id").alias("c"))
+    of = groups.join(known, F.col("fp") == F.col("f"), "left").select("fp", "n", F.when(F.col("f").isNull(), F.col("low")).otherwise(F.col("c")).alias("component_id"), F.coalesce("r", "fp").alias("root"))
+    return spread_join(each, materialize(of, "components"), "fp", "n")
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, all columns, whose doc_id is the smallest of their component.
 
-    Of rows that share such a doc_id one stays. Rows without an id stay, one of
-    each text: no result can name them.
+def keep_one(docs: DataFrame, *, words: int = 4, threshold: int = 4, blocks: int | None = None) -> DataFrame:
+    """One row of each component of ``docs``, all columns.
+
+    It is that of the smallest doc_id (a null one is larger than all others); of rows that share that id
+    too, that of the smallest hash of its text; of rows that are alike in both, one.
+    Null and empty texts have one fingerprint and so are one component. Rows that repeat an
+    id are judged by their own texts. An empty table gives no rows; no column name clashes.
     """
-    found = near_duplicates(docs, **options)
-    ids = materialize(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__kept")).agg(F.count("*").alias("__n")), "kept")
-    out = docs.join(ids.select("__kept"), F.col("doc_id") == F.col("__kept"), "left_semi")
-    if docs.select("doc_id").count() != docs.select("doc_id").distinct().count():
-        out = out.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))
-    elif not docs.where("doc_id is null").isEmpty():
-        out = out.unionByName(docs.where("doc_id is null"))
-    return out
+    mark = next(c for i in range(len(docs.columns) + 1) if (c := f"row_number_{i}") not in docs.columns)
+    rows = materialize(docs.withColumn(mark, F.monotonically_increasing_id()), "rows")
+    each = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct(F.sha2("text", 256).alias("sha"), F.col(mark).alias("at")).alias("place"))
+    each = materialize(fingerprints(each, words, "place"), "fingerprints")
+    order = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("i"), F.col("doc_id").isNull().alias("null"), F.col("place.sha").alias("s"), F.col("place.at").alias("at"))
+    kept = _classes(each, threshold, blocks).groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.at").alias(mark))
+    return rows.join(kept, mark, "left_semi").select(*docs.columns)
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
