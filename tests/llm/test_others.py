@@ -8,6 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidegraph.llm import embedding_dedup, mixing, warc
+from tidegraph.llm.embedding_dedup import near_duplicates
+from tidegraph.llm.common import spread_join
 from tidegraph.llm.components import connected_components
 
 
@@ -17,6 +19,18 @@ def test_components(spark):
     assert got == {i: 0 for i in range(41)} | {i: 51 for i in [*range(51, 70), 100]} | {200: 200, 201: 200}
 
 
+def test_hot_keys_are_joined_whole(spark, monkeypatch):
+    big = spark.range(3000).select(F.when(F.col("id") < 1500, 7).when(F.col("id") < 1600, None).otherwise(F.col("id")).alias("k"), "id")
+    small = big.where("k is not null").groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("low"))
+    hot = spread_join(big, small, "k", "n", "left")
+    assert "Broadcast" in hot._jdf.queryExecution().toString()
+    assert sorted(hot.select("k", "id", "low").collect(), key=str) == sorted(big.join(small, "k", "left").select("k", "id", "low").collect(), key=str)
+    assert spread_join(big, small, "k", "n").count() == 2900
+    star = [(1000, i) for i in range(1001, 1900)] + [(1500, 3), (5000, 5001)]
+    got = {r["id"]: r["root"] for r in connected_components(spark.createDataFrame(star, "a long, b long")).collect()}
+    assert got == {i: 3 for i in range(1000, 1900)} | {3: 3, 5000: 5000, 5001: 5000}
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(1)
     base = rng.normal(size=(150, 16))
@@ -42,15 +56,64 @@ def test_cells_come_in_order():
     assert d == sorted(d) and len(d) == 49
 
 
-def test_visits_are_the_cells_of_the_traversal():
+def test_traversal_deals_out_all_cells_up_to_the_limit():
     rng = np.random.default_rng(3)
     index = embedding_dedup.MultiIndex((rng.normal(size=(9, 4)), rng.normal(size=(9, 4))), 1.5)
     x = rng.normal(size=(20, 8))
     for da, db, got in zip(*index.distances(x), index.visits(x), strict=True):
-        oa, ob = da.argsort(), db.argsort()
-        a, b = da[oa], db[ob]
-        want = {(int(oa[i]), int(ob[j])) for i, j, d in embedding_dedup.multi_sequence(a, b) if d <= a[0] + b[0] + index.margin}
-        assert {(i, int(j)) for i, js in got.items() for j in js} == want and len(want) > 1
+        total = da[:, None] + db[None, :]
+        want = {(int(i), int(j)) for i, j in np.argwhere(total <= total.min() + index.margin)}
+        order = [total[i, j] for i, j in got]
+        assert set(got) == want and len(got) == len(want) > 1 and order == sorted(order)
+
+
+def links_of(x, least=0.9):
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T >= least
+    np.fill_diagonal(s, False)
+    return s
+
+
+def test_recall_on_planted_links(spark):
+    # Partners at a cosine just above the least, the hardest to find, in a grid of 90 by 90 cells.
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(2900, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    q = base[:400]
+    r = rng.normal(size=q.shape)
+    r -= (r * q).sum(axis=1, keepdims=True) * q
+    r /= np.linalg.norm(r, axis=1, keepdims=True)
+    near = 0.902 * q + np.sqrt(1 - 0.902**2) * r
+    x = np.vstack([base, near]).astype("f4").astype("f8")
+    want = links_of(x)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = np.array([r["n_links"] for r in sorted(near_duplicates(df).collect(), key=lambda r: r["vec_id"])])
+    index = embedding_dedup.fit_index(df.select(F.col("vec_id").alias("rid"), F.col("embedding").alias("v")), 64, 0.9)
+    assert index.k >= 90 and index.recall >= embedding_dedup.TARGET
+    assert (got <= want.sum(axis=1)).all() and got.sum() >= 0.95 * want.sum()
+    # The traversal is what saves the work: a vector visits a small part of the grid.
+    assert np.mean([len(v) for v in index.visits(x[:200])]) < 0.03 * index.k**2
+
+
+def test_a_crowd_is_counted_exactly(spark, monkeypatch):
+    # Each found pair counts once for both of its vectors, whoever visits whom, and in parts of a crowded cell.
+    monkeypatch.setattr(embedding_dedup, "HOMES", 50)
+    rng = np.random.default_rng(9)
+    x = np.vstack([rng.normal(size=16) + 0.05 * rng.normal(size=(400, 16)), rng.normal(size=(300, 16))])
+    x = np.vstack([x, x[:30]])
+    want = links_of(x)
+    df = spark.createDataFrame([(i, (1e200 * v).tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r for r in near_duplicates(df).collect()}
+    n = np.array([got[i]["n_links"] for i in range(len(x))])
+    assert (n[:400] == want[:400].sum(axis=1)).all() and n.sum() >= 0.98 * want.sum()
+    assert {got[i]["component_id"] for i in [*range(400), *range(700, 730)]} == {0}
+
+
+def test_double_vectors_are_not_rounded(spark):
+    a, b = 0.9, (1 - 0.81) ** 0.5
+    rows = [(1, [1.0, 0.0]), (2, [a - 1e-9, b]), (3, [a + 1e-9, -b]), (4, [1e-300, 1e-290]), (5, [0.0, 1e250])]
+    got = {r["vec_id"]: r["n_links"] for r in near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: 1, 2: 0, 3: 1, 4: 1, 5: 1}
 
 
 def test_mixing_is_its_sql(spark):

@@ -1,11 +1,10 @@
 """Embedding near-duplicates by an inverted multi-index.
 
 Unit vectors are cut in halves, each half with a codebook of its own; pairs of
-codewords are the cells of a product grid, and every vector lies in one. Each
-vector visits all cells within a margin at which partners at the least similarity
-are found, and cosines in double precision verify what it meets there. These
-are the cells that a multi-sequence traversal deals out up to that margin, but
-a range query finds them, grouped by the first codeword and not in the order of distance.
+codewords are the cells of a product grid, and every vector lies in one. A
+multi-sequence traversal deals out the cells nearest to a vector, in rising
+distance, until the target recall is reached, and cosines in double
+precision verify what the vector meets there.
 """
 
 from __future__ import annotations
@@ -18,31 +17,59 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
-from tidegraph.llm.common import materialize
+from tidegraph.llm.common import materialize, spread_join
 from tidegraph.llm.components import connected_components
 from tidegraph.llm.simhash import Forest
 
-#: Vectors that codebooks and the traversal's margin are fitted on, at most (about).
-SAMPLE = 12_000
-#: Queries of the sample that are compared with all vectors, to fit the margin to links that occur.
-PROBES = 128
-MAX_CODEWORDS = 1024
+#: Share of the links that the traversal is to find: fitted on one half of the probes, held against the other.
+TARGET = 0.98
+#: Vectors that codebooks are fitted on, at most (about), and those for each codeword, at least.
+SAMPLE, PER_CODEWORD = 16_384, 16
+#: Queries of the sample that are compared with all vectors, to fit the stop to links that occur.
+PROBES = 256
+#: Steps of squared distance in which the stop is fitted.
+STEPS = np.linspace(0, 2, 401)
 #: Vectors that one task compares queries with, about.
 HOMES = 4096
 BLOCK = 512
 
 
+def codewords(n: int, sample: int = SAMPLE) -> int:
+    """Codewords of a half for ``n`` vectors: 32 vectors for each, up to 256 of them, then
+    the root of n, as far as the sample can fit them."""
+    return int(max(4, min(n // 32, max(256, np.sqrt(n)), sample // PER_CODEWORD)))
+
+
+def multi_sequence(da: np.ndarray, db: np.ndarray, limit: float = np.inf) -> Iterator[tuple[int, int, float]]:
+    """Cells of a product grid in rising order of the sum of two sorted distances, up to ``limit``."""
+    if not len(da) or not len(db) or da[0] + db[0] > limit:
+        return
+    heap, seen = [(float(da[0] + db[0]), 0, 0)], {(0, 0)}
+    while heap:
+        d, i, j = heapq.heappop(heap)
+        yield i, j, d
+        for u, v in ((i + 1, j), (i, j + 1)):
+            if u < len(da) and v < len(db) and (u, v) not in seen:
+                seen.add((u, v))
+                d = float(da[u] + db[v])
+                if d <= limit:
+                    heapq.heappush(heap, (d, u, v))
+
+
 @dataclass
 class MultiIndex:
-    """Two codebooks and the traversal's margin, in squared distance beyond the nearest cell's."""
+    """Two codebooks, and where the traversal stops: at cells that are farther than the
+    nearest one by more than ``margin`` (squared). ``recall``: what that finds of held-out links."""
 
     books: tuple[np.ndarray, np.ndarray]
     margin: float
+    recall: float = 1.0
 
     @property
     def k(self) -> int:
-        return len(self.books[0])
+        return max(len(self.books[0]), len(self.books[1]))
 
     def distances(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Squared distances of each half to its codewords."""
@@ -53,30 +80,13 @@ class MultiIndex:
         a, b = self.distances(x)
         return a.argmin(axis=1), b.argmin(axis=1)
 
-    def visits(self, x: np.ndarray) -> Iterator[dict[int, list[int]]]:
-        """Of each vector, the cells within the margin: second codewords by the first one.
-
-        The first codewords in turn of their distance, and of each the second ones,
-        until the sum of both distances passes the margin.
-        """
-        a, b = self.distances(x)
-        ia, ib = a.argsort(axis=1), b.argsort(axis=1)
-        for da, db, oa, ob in zip(np.take_along_axis(a, ia, 1), np.take_along_axis(b, ib, 1), ia, ib, strict=True):
-            limit = da[0] + db[0] + self.margin
-            ends = np.searchsorted(db, limit - da[: np.searchsorted(da, limit - db[0], side="right")], side="right")
-            yield {int(i): ob[:n].tolist() for i, n in zip(oa, ends, strict=False)}
-
-
-def multi_sequence(da: np.ndarray, db: np.ndarray) -> Iterator[tuple[int, int, float]]:
-    """Cells of a product grid in rising order of the sum of two sorted distances."""
-    heap, seen = [(float(da[0] + db[0]), 0, 0)], {(0, 0)}
-    while heap:
-        d, i, j = heapq.heappop(heap)
-        yield i, j, d
-        for u, v in ((i + 1, j), (i, j + 1)):
-            if u < len(da) and v < len(db) and (u, v) not in seen:
-                seen.add((u, v))
-                heapq.heappush(heap, (float(da[u] + db[v]), u, v))
+    def visits(self, x: np.ndarray) -> Iterator[list[tuple[int, int]]]:
+        """Of each vector, the cells that the traversal deals out up to its stop, nearest first."""
+        for da, db in zip(*self.distances(x), strict=True):
+            limit = da.min() + db.min() + self.margin
+            a, b = np.flatnonzero(da + db.min() <= limit), np.flatnonzero(db + da.min() <= limit)
+            a, b = a[np.argsort(da[a], kind="stable")], b[np.argsort(db[b], kind="stable")]
+            yield [(int(a[i]), int(b[j])) for i, j, _ in multi_sequence(da[a], db[b], limit)]
 
 
 def k_means(x: np.ndarray, k: int, rounds: int = 10, seed: int = 5) -> np.ndarray:
@@ -90,23 +100,39 @@ def k_means(x: np.ndarray, k: int, rounds: int = 10, seed: int = 5) -> np.ndarra
     return centers
 
 
-def unit(batch_column: pa.Array, dim: int) -> np.ndarray:
-    x = batch_column.flatten().to_numpy(zero_copy_only=False).astype("f8").reshape(-1, dim)
+def unit(column: pa.Array, dim: int) -> np.ndarray:
+    """Rows of an array column as unit vectors in double precision, whatever their size."""
+    x = column.flatten().to_numpy(zero_copy_only=False).astype("f8").reshape(-1, dim)
+    x = x / np.abs(x).max(axis=1, keepdims=True, initial=0)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def fit_index(reps: DataFrame, dim: int, least: float, *, sample: int = SAMPLE, probes: int = PROBES, seed: int = 5) -> MultiIndex:
-    """Codebooks by k-means on the sample's halves. The margin is the largest that
-    any of these needs: random partners of the sample at exactly the least cosine,
-    and all links of ``probes`` vectors, by brute force against all vectors."""
+def gaps(index: MultiIndex, q: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The least margin at which either of each pair visits the other's cell."""
+    out = []
+    at = np.arange(len(q))
+    for one, other in ((q, y), (y, q)):
+        a, b = index.distances(one)
+        i, j = index.home(other)
+        out.append(a[at, i] + b[at, j] - a.min(axis=1) - b.min(axis=1))
+    return np.minimum(*out)
+
+
+def fit_index(reps: DataFrame, dim: int, least: float, *, sample: int = SAMPLE, probes: int = PROBES, target: float = TARGET, seed: int = 5) -> MultiIndex:
+    """``reps(rid, v)`` -> codebooks and stop, fitted on at most about ``sample`` vectors.
+
+    The stop is the least margin that finds ``target`` of two kinds of links on average: of
+    4096 vectors with a partner at exactly the least cosine in a random direction, the
+    hardest there are, and of ``probes`` vectors with all that occur, by brute force against
+    all vectors. Every other vector is held out; where the stop falls short of the target on
+    those, it is widened until they reach it too.
+    """
     n = reps.count()
     u = F.pmod(F.xxhash64("rid", F.lit(seed)), F.lit(1_000_000))
-    picked = reps.where(u < int(min(1.0, sample / n) * 1_000_000) + 1)
-    x = unit(pa.array([r[0] for r in picked.select("v").orderBy("rid").collect()], pa.list_(pa.float64())), dim) if n else np.zeros((0, dim))
-    if not len(x):
-        x = unit(pa.array([r[0] for r in reps.select("v").limit(100).collect()], pa.list_(pa.float64())), dim)
-    k = int(np.clip(np.sqrt(n / 16), 4, MAX_CODEWORDS))
-    half = dim // 2
+    picked = reps.where(u < int(min(1.0, sample / max(n, 1)) * 1_000_000) + 1).select("v").orderBy("rid").collect()
+    picked = picked or reps.select("v").orderBy("rid").limit(100).collect()
+    x = unit(pa.array([r[0] for r in picked], pa.list_(pa.float64())), dim)
+    k, half = codewords(min(n, len(x) * 64), sample), dim // 2
     index = MultiIndex((k_means(x[:, :half], k), k_means(x[:, half:], k)), 0.0)
 
     rng = np.random.default_rng(seed)
@@ -114,78 +140,91 @@ def fit_index(reps: DataFrame, dim: int, least: float, *, sample: int = SAMPLE,
     r = rng.standard_normal(q.shape)
     r -= (r * q).sum(axis=1, keepdims=True) * q
     r /= np.maximum(np.linalg.norm(r, axis=1, keepdims=True), 1e-12)
-    pairs = [(q, least * q + np.sqrt(1 - least**2) * r)]
+    hard = gaps(index, q, least * q + np.sqrt(1 - least**2) * r)
     asked = x[rng.permutation(len(x))[:probes]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = np.zeros((len(asked), len(STEPS) + 1), "i8")
         for batch in batches:
-            y = unit(batch.column(0), dim)
-            need = [(index_gap(index, asked[i : i + 1].repeat(len(own), 0), y[own])).max(initial=0.0) for i, own in enumerate(map(np.flatnonzero, (asked @ y.T) >= least))]
-            yield pa.RecordBatch.from_arrays([pa.array([max(need, default=0.0)], pa.float64())], names=["need"])
-
-    seen = reps.select("v").mapInArrow(run, "need double").agg(F.max("need")).first()[0] or 0.0
-    index.margin = 1.1 * max(float(index_gap(index, *pairs[0]).max()), seen) + 1e-9
+            for at in range(0, batch.num_rows, 4 * BLOCK):
+                y = unit(batch.column(0).slice(at, 4 * BLOCK), dim)
+                s = asked @ y.T
+                i, j = np.nonzero((s >= least) & (s < 1 - 1e-12))
+                if len(i):
+                    np.add.at(count, (i, np.searchsorted(STEPS, gaps(index, asked[i], y[j]))), 1)
+        i, j = np.nonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(count[i, j])], names=["probe", "step", "n"])
+
+    seen = reps.select("v").mapInArrow(run, "probe long, step long, n long").groupBy("probe", "step").agg(F.sum("n")).collect()  # probes x steps at most
+    found = np.zeros((len(asked), len(STEPS) + 1))
+    for i, j, c in seen:
+        found[i, j] = c
+    found = found[found.sum(axis=1) > 0]
+
+    def curve(held: int) -> list[np.ndarray]:
+        """Recall at each step, by kind of link."""
+        kinds = [np.searchsorted(np.sort(hard[held::2]), STEPS, side="right") / len(hard[held::2])]
+        own = found[held::2]
+        return kinds + ([(np.cumsum(own, axis=1) / own.sum(axis=1, keepdims=True)).mean(axis=0)[: len(STEPS)]] if len(own) else [])
+
+    reach = [np.flatnonzero(c >= target) for half_of in (0, 1) for c in curve(half_of)]
+    stop = max(int(r[0]) if len(r) else len(STEPS) - 1 for r in reach)
+    index.margin, index.recall = float(STEPS[stop]) + 1e-9, float(min(c[stop] for c in curve(1)))
     return index
 
 
-def index_gap(index: MultiIndex, q: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """How much farther than its nearest cell each query has its partner's cell."""
-    a, b = index.distances(q)
-    i, j = index.home(y)
-    at = np.arange(len(q))
-    return a[at, i] + b[at, j] - a.min(axis=1) - b.min(axis=1)
-
-
 def _linked(reps: DataFrame, dim: int, least: float) -> DataFrame:
     """Distinct vectors ``reps(rid, v, n)`` -> ``(kind, a, b)``: of kind 0, rid and vectors
-    linked (in part); of kind 1, links that keep the components."""
+    linked (in part); of kind 1, links that keep the components.
+
+    A pair counts for both of its vectors wherever one of them visits the other: a
+    visitor counts for itself, and for the vector at home only if that doesn't come to the visitor's cell.
+    """
     spark = reps.sparkSession
     index = fit_index(reps, dim, least)
     total = reps.count()
-    parts = int(np.clip(np.ceil(total / index.k / HOMES), 1, len(index.books[1])))  # of each first codeword's cells
-    width = -(-len(index.books[1]) // parts)
+    side = len(index.books[1])
+    parts = int(np.clip(np.ceil(total / index.k / HOMES), 1, side))  # of each first codeword's cells
+    width = -(-side // parts)
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(at, BLOCK)
                 x = unit(part.column(1), dim)
-                i, j = index.home(x)
-                yield pa.RecordBatch.from_arrays([pa.array(i * parts + j // width, pa.int32()), pa.array([0] * len(i), pa.int32()), part.column(0), part.column(1), part.column(2), pa.array(j[:, None].tolist(), pa.list_(pa.int32()))], names=names)
-                groups, own, cells = [], [], []
+                home = [i * side + j for i, j in zip(*(h.tolist() for h in index.home(x)), strict=True)]
+                groups, kinds, own, cells = [], [], [], []
                 for row, found in enumerate(index.visits(x)):
-                    for first, seconds in found.items():
-                        by: dict[int, list[int]] = {}
-                        for s in seconds:
-                            by.setdefault(s // width, []).append(s)
-                        groups += [first * parts + p for p in by]
-                        own += [row] * len(by)
-                        cells += by.values()
-                    if len(own) >= 8 * BLOCK or row == len(x) - 1:
-                        take = pa.array(own, pa.int32())
-                        yield pa.RecordBatch.from_arrays([pa.array(groups, pa.int32()), pa.array([1] * len(own), pa.int32()), part.column(0).take(take), part.column(1).take(take), part.column(2).take(take), pa.array(cells, pa.list_(pa.int32()))], names=names)
-                        groups, own, cells = [], [], []
-
-    schema = "grp int, kind int, rid long, v array<float>, n long, cells array<int>"
-    names = ["grp", "kind", "rid", "v", "n", "cells"]
+                    by: dict[int, list[int]] = {}
+                    for i, j in found:
+                        by.setdefault(i * parts + j // width, []).append(i * side + j)
+                    groups += [home[row] // side * parts + home[row] % side // width, *by]
+                    kinds += [0] + [1] * len(by)
+                    own += [row] * (1 + len(by))
+                    cells += [[i * side + j for i, j in found], *by.values()]
+                take = pa.array(own, pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(groups, pa.int32()), pa.array(kinds, pa.int32()), *(part.column(c).take(take) for c in range(3)), pa.array(home, pa.int32()).take(take), pa.array(cells, pa.list_(pa.int32()))], names=names)
+
+    schema = f"grp int, kind int, rid long, v {reps.schema['v'].dataType.simpleString()}, n long, home int, cells array<int>"
+    names = ["grp", "kind", "rid", "v", "n", "home", "cells"]
     met = reps.select("rid", "v", "n").mapInArrow(placed, schema)
     # A crowded part of the grid is dealt to several tasks, and its visitors go to each.
     homes = reps.select("rid", "v", "n").mapInArrow(_homes_only(index, dim, parts, width), "grp int")
     heavy = homes.groupBy("grp").agg(F.count("*").alias("c")).where(F.col("c") > 2 * HOMES).select(F.col("grp").alias("g"), F.ceil(F.col("c") / HOMES).cast("int").alias("ways"))
-    met = met.join(F.broadcast(heavy) if total <= 1 << 24 else heavy, F.col("grp") == F.col("g"), "left").withColumn("ways", F.coalesce("ways", F.lit(1)))
+    # As many rows as the grid has parts, at most: a million of two numbers at 1024 codewords.
+    met = met.join(F.broadcast(heavy), F.col("grp") == F.col("g"), "left").withColumn("ways", F.coalesce("ways", F.lit(1)))
     own_way = F.array(F.pmod(F.xxhash64("rid"), F.col("ways")).cast("int"))
     met = met.withColumn("way", F.explode(F.when(F.col("kind") == 0, own_way).otherwise(F.sequence(F.lit(0), F.col("ways") - 1)))).select("grp", "way", *names[1:])
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, queries = None, [], []
+        key, held, queries, waiting = None, [], [], 0
         homes: Homes | None = None
 
         def answered() -> Iterator[pa.RecordBatch]:
-            nonlocal queries
+            nonlocal queries, waiting
             if homes and queries:
                 yield homes.answer(pa.Table.from_batches(queries).combine_chunks(), dim, least)
-            queries = []
+            queries, waiting = [], 0
 
         for batch in batches:
             g, w, kinds = (batch.column(c).to_numpy() for c in range(3))
@@ -194,19 +233,25 @@ def _linked(reps: DataFrame, dim: int, least: float) -> DataFrame:
                 lo, hi = int(lo), int(hi)
                 if (g[lo], w[lo]) != key:
                     yield from answered()
+                    if homes:
+                        yield homes.others()
                     key, held, homes = (g[lo], w[lo]), [], None
                 part = batch.slice(lo, hi - lo)
                 if kinds[lo] == 0:
                     held.append(part)
                     continue
                 if homes is None and held:
-                    homes = Homes(pa.Table.from_batches(held).combine_chunks(), dim, index)
-                for at in range(0, part.num_rows, BLOCK):
+                    homes = Homes(pa.Table.from_batches(held).combine_chunks(), dim, side)
+                for at in range(0, part.num_rows if homes else 0, BLOCK):
                     queries.append(part.slice(at, BLOCK))
-                    if sum(q.num_rows for q in queries) >= BLOCK:
+                    waiting += queries[-1].num_rows
+                    if waiting >= BLOCK:
                         yield from answered()
         yield from answered()
+        if homes:
+            yield homes.others()
 
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return met.repartition(n, "grp", "way").sortWithinPartitions("grp", "way", "kind").mapInArrow(compare, "kind int, a long, b long")
 
 
@@ -220,41 +265,66 @@ def _homes_only(index: MultiIndex, dim: int, parts: int, width: int):
     return run
 
 
+def _flat(lists: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Row and value of all entries of an array column."""
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    return np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()
+
+
+def _found(kind: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["kind", "a", "b"])
+
+
 class Homes:
-    """The vectors of one part of the grid, and what links have joined so far."""
+    """The vectors of one part of the grid, where they go themselves, and what links have joined so far."""
 
-    def __init__(self, t: pa.Table, dim: int, index: MultiIndex):
-        self.rid = t["rid"].to_numpy()
-        self.n = t["n"].to_numpy()
+    def __init__(self, t: pa.Table, dim: int, side: int):
+        self.rid, self.n, home = (t[c].to_numpy() for c in ("rid", "n", "home"))
         self.x = unit(t["v"].combine_chunks() if isinstance(t["v"], pa.ChunkedArray) else t["v"], dim)
-        self.cell = np.array(t["cells"].to_pylist()).reshape(-1)
+        own, cells = _flat(t["cells"])
+        self.span = int(max(cells.max(), home.max())) + 1
+        self.goes = np.sort(own.astype("i8") * self.span + cells)
+        self.cells, self.at = np.unique(home, return_inverse=True)
         self.forest = Forest(len(self.rid))
-        self.joined: dict[int, int] = {}
-        self.cells = len(index.books[1])
+        self.more = np.zeros(len(self.rid), "i8")
 
     def answer(self, t: pa.Table, dim: int, least: float) -> pa.RecordBatch:
-        rid = t["rid"].to_numpy()
+        rid, n, home = (t[c].to_numpy() for c in ("rid", "n", "home"))
         x = unit(t["v"].combine_chunks() if isinstance(t["v"], pa.ChunkedArray) else t["v"], dim)
-        visited = np.zeros((len(rid), self.cells), bool)
-        lists = t["cells"].to_pylist()
-        visited[np.repeat(np.arange(len(rid)), [len(c) for c in lists]), np.concatenate([np.array(c, int) for c in lists])] = True
-        hit = ((x @ self.x.T) >= least) & visited[:, self.cell] & (rid[:, None] != self.rid[None, :])
-        some = np.flatnonzero(hit.any(axis=1))
-        counts = hit[some] @ self.n
+        row, cell = _flat(t["cells"])
+        place = np.minimum(np.searchsorted(self.cells, cell), len(self.cells) - 1)
+        visited = np.zeros((len(rid), len(self.cells)), bool)
+        there = self.cells[place] == cell
+        visited[row[there], place[there]] = True
+        hit = ((x @ self.x.T) >= least) & visited[:, self.at] & (rid[:, None] != self.rid[None, :])
+        q, h = np.nonzero(hit)
+        if not len(q):
+            return _found(*([[]] * 3))
+        counts = np.bincount(q, self.n[h], len(rid)).astype("i8")
+        # Those at home that don't visit the visitor's cell learn of the link here.
+        known = home[q] < self.span
+        code = h.astype("i8") * self.span + np.where(known, home[q], 0)
+        spot = np.minimum(np.searchsorted(self.goes, code), len(self.goes) - 1)
+        back = known & (self.goes[spot] == code)
+        self.more += np.bincount(h[~back], n[q[~back]], len(self.rid)).astype("i8")
+        some = np.flatnonzero(counts)
         a, b = [], []
-        for row in some:
-            hits = np.flatnonzero(hit[row])
+        up = np.array(self.forest.up)
+        for r, hits in zip(some, np.split(h, np.flatnonzero(np.diff(q)) + 1), strict=True):
             roots: dict[int, int] = {}
-            up = np.array([self.forest.up[h] for h in hits])
-            for h in hits[np.unique(up, return_index=True)[1]]:
-                roots.setdefault(self.forest.root(int(h)), int(h))
+            for i in hits[np.unique(up[hits], return_index=True)[1]]:
+                roots.setdefault(self.forest.root(int(i)), int(i))
             first, *others = roots
-            a += [rid[row]] * len(roots)
-            b += [self.rid[h] for h in roots.values()]
+            a += [rid[r]] * len(roots)
+            b += [self.rid[i] for i in roots.values()]
             for o in others:
                 self.forest.up[o] = first
-        kinds = [0] * len(some) + [1] * len(a)
-        return pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(np.concatenate([rid[some], np.array(a, "i8")])), pa.array(np.concatenate([counts, np.array(b, "i8")]).astype("i8"))], names=["kind", "a", "b"])
+        return _found(np.repeat([0, 1], [len(some), len(a)]), np.concatenate([rid[some], np.array(a, "i8")]), np.concatenate([counts[some], np.array(b, "i8")]))
+
+    def others(self) -> pa.RecordBatch:
+        """What the vectors at home have learnt of visitors that they don't visit."""
+        some = np.flatnonzero(self.more)
+        return _found(np.zeros(len(some)), self.rid[some], self.more[some])
 
 
 def near_duplicates(vectors: DataFrame, *, least: float = 0.9) -> DataFrame:
@@ -268,7 +338,9 @@ def near_duplicates(vectors: DataFrame, *, least: float = 0.9) -> DataFrame:
     and its component_id is its component's smallest id, null if it has none.
     Other columns are ignored.
     """
-    v = F.col("embedding").cast("array<float>")
+    # Floats stay floats, half as large to move; all else is compared as doubles.
+    kind = vectors.schema["embedding"].dataType
+    v = F.col("embedding").cast("array<float>" if kind == ArrayType(FloatType(), kind.containsNull) else "array<double>")
     sound = F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).withColumn("sound", F.coalesce(sound, F.lit(False)))
     grouped = rows.where("sound").groupBy("v").agg(F.min("vec_id").alias("low"), F.count("*").alias("n"))
@@ -290,11 +362,15 @@ def near_duplicates(vectors: DataFrame, *, least: float = 0.9) -> DataFrame:
     out = materialize(out, "vector-links")
     counts = out.where("kind = 0").groupBy(F.col("a").alias("rid")).agg(F.sum("b").alias("links"))
     rooted = connected_components(out.where("kind = 1").select("a", "b"))
-    whole = reps.join(rooted, reps["rid"] == rooted["id"], "left").select("rid", "v", "low", "n", F.coalesce("root", "rid").alias("root"))
-    least_id = whole.groupBy("root").agg(F.min("low").alias("component_id"))
-    of = materialize(whole.join(least_id, "root").join(counts, "rid", "left").select(F.col("v").alias("w"), "component_id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links")), "vector-classes")
-    joined = rows.join(of, F.col("sound") & (F.col("v") == F.col("w")), "left")
-    component = F.when(F.col("w").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
+    rooted = materialize(rooted.withColumnRenamed("id", "rid"), "vector-roots")
+    linked = materialize(reps.select("rid", "low").join(rooted, "rid"), "linked-vectors")
+    least_id = materialize(linked.groupBy("root").agg(F.min("low").alias("least"), F.count("*").alias("m")), "least-ids")
+    known = spread_join(linked.select("rid", "root"), least_id, "root", "m").select("rid", "least")
+    of = reps.join(known, "rid", "left").join(counts, "rid", "left")
+    # A component of rows without ids has no id, so a row without a class is told by ``known``.
+    of = of.select("v", "n", F.col("rid").isNotNull().alias("known"), F.least("least", "low").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
+    joined = spread_join(rows.withColumn("v", F.when(F.col("sound"), F.col("v"))), materialize(of, "vector-classes"), "v", "n", "left")
+    component = F.when(F.col("known").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return joined.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
 
 
