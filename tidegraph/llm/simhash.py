@@ -28,6 +28,8 @@ BITS = 64
 REPLICA_COST = 200
 #: Homes of an anchor that one task compares; an anchor with more is dealt to several.
 HOMES = 2048
+#: Crowded anchors (12 bytes each) that are broadcast; more of them are joined by a shuffle.
+BROADCAST = 1 << 18
 
 
 def fingerprint(text: bytes | None, words: int) -> int:
@@ -133,8 +135,8 @@ def layout(blocks: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def meetings(fps: DataFrame, threshold: int, blocks: int) -> DataFrame:
-    """``fps(fp)`` -> ``(anchor, fp, home)``: every anchor that a fingerprint goes to."""
+def meetings(fps: DataFrame, threshold: int, blocks: int, homes_only: bool = False) -> DataFrame:
+    """``fps(fp)`` -> ``(anchor, fp, home)``: every anchor that a fingerprint goes to, or only its home on each block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = [(i, np.uint64(shift), np.uint64((1 << width) - 1), CoveringCode(width)) for i, (shift, width) in enumerate(layout(blocks))]
@@ -143,7 +145,11 @@ def meetings(fps: DataFrame, threshold: int, blocks: int) -> DataFrame:
                 x = batch.column(0).slice(at, 4096).to_numpy(zero_copy_only=False).view("u8")
                 for i, shift, mask, code in codes:
                     v = x >> shift & mask
-                    s, home, near = code.syndrome(v), code.home(v), code.within(1 + threshold // blocks)
+                    s, home = code.syndrome(v), code.home(v)
+                    if homes_only:
+                        yield pa.RecordBatch.from_arrays([pa.array((home | np.uint64(i << 60)).view("i8")), pa.array(x.view("i8")), pa.array(np.ones(len(x), bool))], names=["anchor", "fp", "home"])
+                        continue
+                    near = code.within(1 + threshold // blocks)
                     for k in np.unique(s).tolist():
                         own = np.flatnonzero(s == k)
                         anchors = (v[own, None] ^ near[k][None, :]).ravel()
@@ -199,8 +205,13 @@ def links(fps: DataFrame, threshold: int = 4, blocks: int | None = None) -> Data
         blocks = cheapest(fps.count(), threshold)
     met = meetings(fps, threshold, blocks)
     # Homes of a crowded anchor are dealt to several tasks, and its other fingerprints go to each of them.
-    heavy = met.where("home").groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > HOMES).select("anchor", F.ceil(F.col("n") / HOMES).cast("int").alias("ways"))
-    dealt = met.join(heavy, "anchor", "left").withColumn("ways", F.coalesce("ways", F.lit(1)))
+    heavy = meetings(fps, threshold, blocks, homes_only=True).groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > HOMES)
+    heavy = materialize(heavy.select("anchor", F.ceil(F.col("n") / HOMES).cast("int").alias("ways")), "heavy-anchors")
+    crowded = heavy.count()
+    if crowded:
+        dealt = met.join(F.broadcast(heavy) if crowded <= BROADCAST else heavy, "anchor", "left").withColumn("ways", F.coalesce("ways", F.lit(1)))
+    else:
+        dealt = met.withColumn("ways", F.lit(1))
     chosen = F.pmod(F.xxhash64("fp"), F.col("ways")).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.col("ways") - 1))
     dealt = dealt.select("anchor", "fp", "home", chosen.alias("own"), every.alias("way")).select("anchor", "fp", (F.col("home") & (F.col("own") == F.col("way"))).alias("home"), "way")
