@@ -30,8 +30,8 @@ def test_deep_shallow():
         assert deep_shallow(s) == sorted(range(len(s)), key=lambda i: (s[i], i))
 
 
-@pytest.mark.parametrize("heavy", [100_000, 3])
-def test_against_plain(spark, heavy):
+@pytest.mark.parametrize("group", [8192, 3, 1])
+def test_against_plain(spark, group):
     rng = random.Random(2)
     base = ["".join(rng.choices("abcdé \n", k=300)) for _ in range(5)]
     rows = [(0, None), (1, ""), (2, "a" * 99), (3, "a" * 100), (4, "ab" * 400)]
@@ -42,7 +42,7 @@ def test_against_plain(spark, heavy):
             t += rng.choice(base)[x : x + rng.randrange(300)] + "".join(rng.choices("xyz", k=rng.randrange(30)))
         rows.append((i, t))
     rows += [(200 + i, rows[i][1]) for i in range(0, 40, 3)]
-    got = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), heavy=heavy).collect()
+    got = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), group=group).collect()
     assert {r["doc_id"]: tuple(r)[1:] for r in got} == plain(rows)
 
 
@@ -55,6 +55,28 @@ def test_texts_and_odd_rows(spark):
     assert remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_many_rows_without_an_id(spark):
+    rng = random.Random(5)
+    a, b = ("".join(rng.choices("abcdefgh ", k=300)) for _ in range(2))
+    rows = [(None, a[: 150 + i] + b) for i in range(40)] + [(None, a)] * 30 + [(4, b)]
+    # In a document of its own, what is left of each can be told by the plain rule in order of (id, hash).
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0, int(hashlib.sha256(rows[i][1].encode()).hexdigest()[:15], 16)))
+    want = plain([(k, rows[i][1]) for k, i in enumerate(order)])
+    got = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(tuple(r)[1:] for r in got) == sorted(want.values())
+
+
+def test_a_third_of_all_rows_share_a_passage(spark):
+    # One anchor has hundreds of different contexts, and one context hundreds of places.
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choices("abcdefghijkl ", k=n))
+    shared, page = word(60), word(220)
+    rows = [(i, word(150) + shared + word(90)) for i in range(300)] + [(300 + i, word(40) + page + word(30)) for i in range(300)] + [(600 + i, word(200)) for i in range(200)]
+    rows += [(900 + i, word(20) + rows[i][1][100:260] + word(5)) for i in range(100)]
+    got = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), group=40).collect()
+    assert {r["doc_id"]: tuple(r)[1:] for r in got} == plain(rows)
+
+
 def test_frequent_keeps_large_shares():
     rng = np.random.default_rng(4)
     h, c = np.empty(0, "u8"), np.empty(0, "i8")

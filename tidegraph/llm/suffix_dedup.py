@@ -8,10 +8,13 @@ twin are sorted:
 2. A minimizer of 20 bytes stands for each window of ``length`` bytes, so that
    equal windows have equal anchors at equal places. Anchors that occur once
    are dropped.
-3. The suffixes that start at a repeated anchor, and the reversed text before
-   it, are sorted per anchor by ``deepshallow``. Orders and common prefixes give
-   the class of each window; all but its first place are repeats.
-4. Spans are merged per document and cut out.
+3. What lies around a repeated anchor is its context: the suffix that starts there and
+   the reversed text before it. An aggregate puts equal contexts together; all places but the first repeat it.
+4. The different contexts of an anchor are sorted by ``deepshallow``. Orders and
+   common prefixes give the class of each window; all but its first place are
+   repeats. An anchor with very many different contexts is split by the bytes next to it, again
+   and again, until each part fits a task.
+5. Spans are merged per document and cut out.
 """
 
 from __future__ import annotations
@@ -22,20 +25,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegraph.llm.common import documents, fresh_path, materialize
+from tidegraph.llm.common import documents, fresh_path, materialize, spread_join
 from tidegraph.llm.deepshallow import deep_shallow, lcp_array
 
 LENGTH = 100
 GRAM = 20
-#: Places of one anchor above which its windows are compared by a distributed
-#: aggregate, not in one task.
-HEAVY = 100_000
-#: Counters of a task's summary of its anchors, and the share of all anchors that makes one hot.
-COUNTERS = 4_000
-HOT_SHARE = 1 / 2_000
+#: Different contexts that are sorted together in one task; larger groups are split.
+GROUP = 8_192
+#: Counters of a task's summary of its anchors, for each shuffle partition.
+COUNTERS = 8
 SALTS = 1 << 20
 BLOCK = 1 << 19
 #: Contexts that are classed at once.
@@ -92,12 +93,11 @@ def minimizers(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tupl
 
 
 def same_text() -> Column:
-    """``(uid, th)`` against ``(u, t)``, as a join on ids alone: the second part must
-    not become a key of the join, else the buckets by id no longer fit it."""
-    return (F.col("uid") == F.col("u")) & (F.col("th") - F.col("t") == 0)
+    """``(uid, th)`` against ``(u, t)``, the keys that texts are bucketed by."""
+    return (F.col("uid") == F.col("u")) & (F.col("th") == F.col("t"))
 
 
-def frequent(h: np.ndarray, c: np.ndarray, counters: int = COUNTERS) -> tuple[np.ndarray, np.ndarray]:
+def frequent(h: np.ndarray, c: np.ndarray, counters: int) -> tuple[np.ndarray, np.ndarray]:
     """A Misra-Gries summary of hashes ``h`` with counts ``c``: at most ``counters``
     of them, with counts too low by at most a ``counters + 1``-th of all."""
     h, at = np.unique(h, return_inverse=True)
@@ -107,10 +107,14 @@ def frequent(h: np.ndarray, c: np.ndarray, counters: int = COUNTERS) -> tuple[np
     return h[c > 0], c[c > 0]
 
 
-def hot_anchors(work: DataFrame, length: int, heavy: int, counters: int = COUNTERS, share: float = HOT_SHARE) -> np.ndarray:
-    """Anchors with over half of ``heavy`` places that also have a ``share`` of all:
-    every one above ``share``, and at most 1 / (share - 1 / (counters + 1)) of them,
-    which is 4000, whatever the size of the table. Tasks send summaries."""
+def hot_anchors(work: DataFrame, length: int) -> np.ndarray:
+    """Anchors that have more places than half of an average task's.
+
+    Every one of them is among what is returned, and a few others may be: two for each shuffle
+    partition on average, or fewer, whatever the size of the table. Tasks send summaries of so many counters.
+    """
+    parts = int(work.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counters, share = COUNTERS * parts, 1 / (2 * parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h, c, new, waiting, total = np.empty(0, "u8"), np.empty(0, "i8"), [], 0, 0
@@ -128,7 +132,7 @@ def hot_anchors(work: DataFrame, length: int, heavy: int, counters: int = COUNTE
 
     sums = materialize(work.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "frequent-anchors")
     total = sum(r["c"] for r in sums.where("h is null").collect())  # one row at most
-    least = max(heavy / 2, total * (share - 1 / (counters + 1)))
+    least = max(1, total * (share - 1 / (counters + 1)))
     return np.array([r["h"] for r in sums.where(F.col("h").isNotNull() & (F.col("c") > least)).collect()], "i8").view("u8")
 
 
@@ -153,6 +157,34 @@ def anchors(work: DataFrame, length: int, hot: np.ndarray) -> DataFrame:
     return work.select("uid", "th", "text").mapInArrow(run, "h long, salt int, uid long, th long, pos int")
 
 
+def repeated(places: DataFrame) -> DataFrame:
+    """``(uid, th, pos)`` of anchors that occur twice or more; those that are spread by a salt do."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Rows come sorted by anchor: one repeats if its neighbour has the same. The last row waits for the next batch.
+        held: pa.Table | None = None
+        before = None
+
+        def chosen(t: pa.Table, after: int | None) -> list[pa.RecordBatch]:
+            h, salt = t["h"].to_numpy(), t["salt"].to_numpy()
+            same = h[1:] == h[:-1]
+            keep = np.concatenate([[before is not None and h[0] == before], same]) | np.concatenate([same, [after is not None and h[-1] == after]]) | (salt > 0)
+            return t.filter(pa.array(keep)).select(["uid", "th", "pos"]).combine_chunks().to_batches()
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if held is not None:
+                yield from chosen(held, batch.column(0)[0].as_py())
+                before = held["h"][-1].as_py()
+            held = pa.Table.from_batches([batch])
+        if held is not None:
+            yield from chosen(held, None)
+
+    n = int(places.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return places.repartition(n, "h", "salt").sortWithinPartitions("h").mapInArrow(run, "uid long, th long, pos int")
+
+
 def contexts(work: DataFrame, places: DataFrame, length: int) -> DataFrame:
     """What lies before and after each anchor: all that a window over it can hold."""
     spots = places.groupBy("uid", "th").agg(F.collect_list("pos").alias("spots")).withColumnsRenamed({"uid": "u", "th": "t"})
@@ -182,30 +214,35 @@ def contexts(work: DataFrame, places: DataFrame, length: int) -> DataFrame:
     return both.mapInArrow(run, "before binary, after binary, uid long, th long, pos int")
 
 
-def repeated_windows(groups: list[list[tuple[bytes, bytes]]], length: int) -> np.ndarray:
-    """``groups``: per anchor, its distinct contexts ``(reversed before, after)`` in
-    order of their first places. Returns a row for each context: at ``a``, whether
-    the window that starts ``a`` bytes before the anchor also starts earlier."""
-    n, reach = sum(map(len, groups)), length - GRAM
+def repeated_windows(groups: list[list[tuple]], length: int) -> np.ndarray:
+    """``groups``: of each, its different contexts ``(reversed before, after)`` in order of
+    their first places, after ``(lo, hi)``. Returns a row for each context: at ``a``, between ``lo`` and ``hi``,
+    whether the window that starts ``a`` bytes before the anchor also starts earlier.
+
+    All contexts of a group share ``lo`` bytes before and ``length - hi`` bytes from the anchor on.
+    """
+    n, reach = sum(len(g) - 1 for g in groups), length - GRAM
     order = [np.empty(n, "i8"), np.empty(n, "i8")]
     lcps = [np.empty(n, "i8"), np.empty(n, "i8")]
+    span = np.empty((n, 2), "i8")
     at = 0
-    for group in groups:
-        for side, skip in ((0, 0), (1, GRAM)):
+    for (lo, hi), *group in groups:
+        for side, skip in ((0, lo), (1, length - hi)):
             strings = [c[side] for c in group]
             got = deep_shallow(strings, skip)
             order[side][at : at + len(group)] = np.array(got) + at
             lcps[side][at : at + len(group)] = lcp_array(strings, got)
             lcps[side][at] = -1  # never one class with the group before
+        span[at : at + len(group)] = lo, hi
         at += len(group)
-    before = np.array([len(c[0]) for g in groups for c in g])
-    after = np.array([len(c[1]) for g in groups for c in g])
+    before = np.array([len(c[0]) for g in groups for c in g[1:]])
+    after = np.array([len(c[1]) for g in groups for c in g[1:]])
     out = np.zeros((n, reach + 1), bool)
     left, right = np.empty(n, "i8"), np.empty(n, "i8")
     for a in range(reach + 1):
         left[order[0]] = np.cumsum(lcps[0] < a)
         right[order[1]] = np.cumsum(lcps[1] < length - a)
-        fits = np.flatnonzero((before >= a) & (after >= length - a))
+        fits = np.flatnonzero((before >= a) & (after >= length - a) & (span[:, 0] <= a) & (a <= span[:, 1]))
         if len(fits) < 2:
             continue
         key = right[fits] * (n + 1) + left[fits]
@@ -216,90 +253,88 @@ def repeated_windows(groups: list[list[tuple[bytes, bytes]]], length: int) -> np
     return out
 
 
-def light_spans(ctx: DataFrame, length: int) -> DataFrame:
-    """``(uid, th, lo, hi)``: bytes that repeat earlier ones, anchor by anchor."""
+def sorted_spans(different: DataFrame, length: int) -> DataFrame:
+    """``(uid, th, start, stop)``: bytes that repeat earlier ones, group by group of contexts with one ``key``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = ["uid", "th", "lo", "hi"]
-        whole: list[tuple[int, int, int, int]] = []
-        groups: list[list[tuple[bytes, bytes]]] = []
-        firsts: list[tuple[int, int, int]] = []
-        held = 0
-        seen: dict[tuple[bytes, bytes], tuple[int, int, int]] = {}
-        anchor = None
-
-        def table(rows: list) -> pa.RecordBatch:
-            cols = np.array(rows, "i8").reshape(-1, 4).T
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=schema)
-
-        def close() -> int:
-            if len(seen) < 2:
-                return 0
-            groups.append(list(seen))
-            firsts.extend(seen.values())
-            return len(seen)
+        groups: list[list[tuple]] = []
+        places: list[tuple[int, int, int]] = []
+        group: list[tuple] = []
+        own: list[tuple[int, int, int]] = []
+        key, held = None, 0
+
+        def close() -> None:
+            nonlocal held
+            if len(own) > 1:
+                groups.append(group)
+                places.extend(own)
+                held += len(own)
 
         def classed() -> pa.RecordBatch:
             again = repeated_windows(groups, length)
             edge = np.diff(np.pad(again, ((0, 0), (1, 1))).astype("i1"), axis=1)
             row, a = np.nonzero(edge == 1)
             _, b = np.nonzero(edge == -1)
-            own = np.array(firsts, "i8").reshape(-1, 3)[row]
-            return pa.RecordBatch.from_arrays([pa.array(own[:, 0]), pa.array(own[:, 1]), pa.array(own[:, 2] - b + 1), pa.array(own[:, 2] - a + length)], names=schema)
+            at = np.array(places, "i8").reshape(-1, 3)[row]
+            return pa.RecordBatch.from_arrays([pa.array(at[:, 0]), pa.array(at[:, 1]), pa.array(at[:, 2] - b + 1), pa.array(at[:, 2] - a + length)], names=["uid", "th", "start", "stop"])
 
         for batch in batches:
-            cols = [c.to_pylist() for c in batch.columns]
-            for before, after, uid, th, pos in zip(*cols, strict=True):
-                if after[:GRAM] != anchor:
-                    held += close()
-                    seen, anchor = {}, after[:GRAM]
+            for k, lo, hi, before, after, uid, th, pos in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if k != key:
+                    close()
+                    key, group, own = k, [(lo, hi)], []
                     if held >= PENDING:
                         yield classed()
-                        groups, firsts, held = [], [], 0
-                if (before, after) not in seen:
-                    seen[before, after] = (uid, th, pos)
-                elif len(before) + len(after) >= length:
-                    # The same context earlier: its windows are all repeats.
-                    whole.append((uid, th, pos - len(before), pos + len(after)))
-            if len(whole) >= 20_000:
-                yield table(whole)
-                whole = []
+                        groups, places, held = [], [], 0
+                group.append((before, after))
+                own.append((uid, th, pos))
         close()
-        yield table(whole)
         if groups:
             yield classed()
 
-    n = int(ctx.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    key = F.substring("after", 1, GRAM)
-    return ctx.repartition(n, key).sortWithinPartitions(key, "uid", "th", "pos").mapInArrow(run, "uid long, th long, lo long, hi long")
+    n = int(different.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = different.select("key", "lo", "hi", "before", "after", "uid", "th", "pos")
+    return rows.repartition(n, "key").sortWithinPartitions("key", "uid", "th", "pos").mapInArrow(run, "uid long, th long, start long, stop long")
 
 
-def heavy_spans(ctx: DataFrame, length: int, heavy: int) -> DataFrame:
-    """The same for anchors that are too common for one task.
+def spans_of(ctx: DataFrame, length: int, group: int = GROUP) -> DataFrame:
+    """``(uid, th, start, stop)``: bytes of windows that start earlier, from written contexts.
 
-    Places with equal contexts are put together first, by an aggregate with a
-    map-side combine; all but the first of each repeat it. Where the different
-    contexts of an anchor fit a task, they are sorted there. Of the others, the
-    first place of each window is an aggregate too. Joins that AQE can split
-    bring the first places back.
+    A row is responsible for the windows that start ``lo`` to ``hi`` bytes before its
+    anchor, at first all of them. Windows of that range can only be equal where ``lo`` bytes before and
+    ``length - hi`` bytes from the anchor on are: that is the row's ``key``. Rows with a key that over
+    ``group`` different contexts have are dealt to both halves of the range, whose keys are longer; a range of one
+    window has the whole window as its key, and so one context. No key is ever one task's
+    alone: equal contexts are combined map-side, and ``spread_join`` finds the rows to split.
     """
-    ctx = materialize(ctx, "common-contexts")
-    place = F.struct("uid", "th", "pos")
-    firsts = materialize(ctx.groupBy(F.col("before").alias("b"), F.col("after").alias("a")).agg(F.min(place).alias("p")), "first-contexts")
-    anchor = F.substring("a", 1, GRAM)
-    sizes = materialize(firsts.groupBy(anchor.alias("g")).agg(F.count("*").alias("n")), "context-counts")
-    whole = ctx.join(firsts, (F.col("before") == F.col("b")) & (F.col("after") == F.col("a"))).where((place > F.col("p")) & (F.length("before") + F.length("after") >= length))
-    out = whole.select("uid", "th", (F.col("pos") - F.length("before")).cast("long").alias("lo"), (F.col("pos") + F.length("after")).cast("long").alias("hi"))
-    different = firsts.join(sizes, anchor == F.col("g")).select(F.col("b").alias("before"), F.col("a").alias("after"), "p.uid", "p.th", "p.pos", "n")
-    out = out.unionByName(light_spans(different.where(F.col("n") <= heavy).drop("n"), length))
-    if different.where(F.col("n") > heavy).isEmpty():
-        return out
-    a = F.explode(F.sequence(F.greatest(F.lit(0), F.lit(length) - F.length("after")), F.least(F.length("before"), F.lit(length - GRAM))))
-    fits = different.where((F.col("n") > heavy) & (F.length("before") + F.length("after") >= length))
-    windows = fits.select("uid", "th", "pos", "before", "after", a.alias("a")).select("uid", "th", (F.col("pos") - F.col("a")).cast("long").alias("lo"), F.sha2(F.concat(F.substring(F.col("before"), F.lit(1), F.col("a")), F.lit(b"\x00"), F.substring(F.col("after"), F.lit(1), F.lit(length) - F.col("a")), F.col("a").cast("string").cast("binary")), 256).alias("w"))
-    start = F.struct("uid", "th", "lo")
-    first = windows.groupBy("w").agg(F.min(start).alias("first"))
-    return out.unionByName(windows.join(first, "w").where(start > F.col("first")).select("uid", "th", "lo", (F.col("lo") + length).alias("hi")))
+    level = ctx.select(F.lit(0).alias("lo"), F.lit(length - GRAM).alias("hi"), "before", "after", "uid", "th", "pos")
+    place, out = F.struct("uid", "th", "pos"), None
+
+    def add(found: DataFrame) -> None:
+        nonlocal out
+        out = found if out is None else out.unionByName(found)
+
+    while True:
+        firsts = level.groupBy("lo", "hi", "before", "after").agg(F.min(place).alias("p"))
+        key = F.concat(F.concat_ws(" ", "lo", "hi", F.lit("")).cast("binary"), F.substring(F.col("before"), F.lit(1), F.col("lo")), F.substring(F.col("after"), F.lit(1), F.lit(length) - F.col("hi")))
+        firsts = materialize(firsts.select(key.alias("key"), "lo", "hi", "before", "after", "p.uid", "p.th", "p.pos"), "first-contexts")
+        # All places but the first repeat the windows of their whole context.
+        least, most = F.greatest("lo", F.lit(length) - F.length("after")), F.least("hi", F.length("before"))
+        whole = level.select("lo", "hi", "uid", "th", "pos", least.alias("least"), most.alias("most")).where("least <= most").join(firsts.select("lo", "hi", "uid", "th", "pos"), ["lo", "hi", "uid", "th", "pos"], "left_anti")
+        add(whole.select("uid", "th", (F.col("pos") - F.col("most")).cast("long").alias("start"), (F.col("pos") - F.col("least") + length).cast("long").alias("stop")))
+        sizes = firsts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+        sizes = materialize(sizes.select("key", "n", (F.col("n") > group).alias("crowded")), "context-counts")
+        if sizes.where("crowded").isEmpty():
+            add(sorted_spans(firsts, length))
+            return out
+        marked = materialize(spread_join(firsts, sizes, "key", "n"), "marked-contexts")
+        add(sorted_spans(marked.where("not crowded"), length))
+        middle = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
+        half = F.explode(F.array(F.struct(F.col("lo").alias("l"), middle.alias("h")), F.struct((middle + 1).alias("l"), F.col("hi").alias("h"))))
+        halves = marked.where("crowded").select("before", "after", "uid", "th", "pos", half.alias("half")).select("half.*", "before", "after", "uid", "th", "pos")
+        # What no window of the range can hold is left out, so that more contexts are equal.
+        halves = halves.where((F.length("before") >= F.col("l")) & (F.length("after") >= F.lit(length) - F.col("h")))
+        level = materialize(halves.select(F.col("l").alias("lo"), F.col("h").alias("hi"), F.substring(F.col("before"), F.lit(1), F.col("h")).alias("before"), F.substring(F.col("after"), F.lit(1), F.lit(length) - F.col("l")).alias("after"), "uid", "th", "pos"), "split-contexts")
 
 
 def merged(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -314,75 +349,76 @@ def cut(text: bytes, spans: list[dict]) -> tuple[bytes, int, int]:
     """(rest, bytes removed, runs removed)."""
     if not spans:
         return text, 0, 0
-    lo, hi = merged(np.array([s["lo"] for s in spans]), np.array([s["hi"] for s in spans]))
+    lo, hi = merged(np.array([s["start"] for s in spans]), np.array([s["stop"] for s in spans]))
     edges = [0, *np.column_stack([lo, hi]).ravel().tolist(), len(text)]
     rest = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
     return rest, int((hi - lo).sum()), len(lo)
 
 
-def remove_repeats(docs: DataFrame, *, length: int = LENGTH, with_text: bool = False, heavy: int = HEAVY) -> DataFrame:
+def text_hash(rows: DataFrame) -> Column:
+    """A number from ``sha`` that tells texts of one ``uid`` apart: the first of four parts of it that does."""
+    for k in range(4):
+        part = F.conv(F.substring("sha", 1 + 16 * k, 15), 16, 10).cast("long")
+        if rows.select("uid", "sha").distinct().groupBy("uid", part).count().where("count > 1").isEmpty():
+            return part
+    raise ValueError("texts of one id differ in no part of their SHA-256")
+
+
+def remove_repeats(docs: DataFrame, *, length: int = LENGTH, with_text: bool = False, group: int = GROUP) -> DataFrame:
     """``docs(doc_id, text)`` -> ``(doc_id, n_bytes, n_removed, n_spans, kept_sha256)``,
     a row per row; or, with ``with_text``, the columns of ``docs`` with the rest of
     each text as ``text``.
 
-    Texts are UTF-8 bytes, null is empty; matches don't cross documents.
-    Code points that a cut splits are dropped from the text as a string, not from
+    Texts are UTF-8 bytes, null is empty; matches don't cross documents. Texts may be as
+    long as a row can be. Code points that a cut splits are dropped from the text as a string, not from
     ``kept_sha256``. Of equal texts, that of the smallest
     doc_id is the first. A null doc_id comes after all others. Rows that repeat
     a doc_id are ordered by a hash of their texts, and count as earlier and
     later like others; of wholly equal rows, one is the first. Other columns
-    are ignored; an empty table gives no rows.
+    are ignored, whatever their names; an empty table gives no rows.
     """
     spark = docs.sparkSession
     others = [c for c in docs.columns if c != "text"]
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("uid"), text.alias("text"), F.struct(*others).alias("row"))
-    n_bytes, sha = F.octet_length("text").cast("long"), F.sha2("text", 256)
+    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("uid"), text.alias("text"), F.struct(*others).alias("row")).withColumn("sha", F.sha2("text", 256))
+    n_bytes = F.octet_length("text").cast("long")
     extra = [F.when(F.octet_length("text") < length, F.col("text")).alias("short"), "row"] if with_text else []
-    small = materialize(base.select("uid", sha.alias("sha"), n_bytes.alias("n_bytes"), *extra), "texts")
+    small = materialize(base.select("uid", "sha", n_bytes.alias("n_bytes"), F.monotonically_increasing_id().alias("rid"), *extra), "texts")
     repeats_id = not small.groupBy("uid").count().where("count > 1").isEmpty()
-    th = F.crc32(sha.cast("binary")).cast("long") if repeats_id else F.lit(0).cast("long")
-    of_sha = F.crc32(F.col("sha").cast("binary")).cast("long") if repeats_id else F.lit(0).cast("long")
-    place = F.struct("uid", of_sha.alias("th"))
-    reps = small.where(F.col("n_bytes") >= length).groupBy("sha").agg(F.min(place).alias("p")).select("sha", F.col("p.uid").alias("u"), F.col("p.th").alias("t"))
-
-    # One of each text, bucketed by id: the two later joins with texts move none of them.
-    long_texts = base.where(F.octet_length("text") >= length).select("uid", th.alias("th"), "text")
-    own = reps.select("u", "t").distinct()
-    work = long_texts.join(own, same_text(), "left_semi")
+    th = text_hash(small) if repeats_id else F.lit(0).cast("long")
+    # The first row of each text, and the text itself: bucketed, so that the two later joins with texts move none of them.
+    firsts = small.where(F.col("n_bytes") >= length).groupBy("sha").agg(F.min(F.struct("uid", th.alias("th"), "rid")).alias("p"))
+    firsts = firsts.select(F.col("p.uid").alias("u"), F.col("p.th").alias("t"), "p.rid")
+    texts = base.where(F.octet_length("text") >= length).select("uid", th.alias("th"), "text")
     if repeats_id:
-        work = work.dropDuplicates(["uid", "th"])
+        texts = texts.dropDuplicates(["uid", "th"])
+    work = texts.join(firsts, same_text()).select("uid", "th", "rid", "text")
     name, n = f"suffix_texts_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
-    work.write.bucketBy(n, "uid").option("path", fresh_path(spark, "suffix-texts")).option("compression", "zstd").saveAsTable(name)
+    work.write.bucketBy(n, "uid", "th").option("path", fresh_path(spark, "suffix-texts")).option("compression", "zstd").saveAsTable(name)
     work = spark.table(name)
 
-    # Hot anchors repeat, so their places need no count and are spread; the heavy way takes them.
-    counted = anchors(work, length, hot_anchors(work, length, heavy)).withColumn("n", F.count("*").over(Window.partitionBy("h", "salt"))).where("n > 1 or salt > 0")
-    places = materialize(counted.select("uid", "th", "pos", ((F.col("n") > heavy) | (F.col("salt") > 0)).alias("heavy")), "places")
-    spans = light_spans(contexts(work, places.where("not heavy"), length), length)
-    if not places.where("heavy").isEmpty():
-        spans = spans.unionByName(heavy_spans(contexts(work, places.where("heavy"), length), length, heavy))
-    per = spans.groupBy("uid", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")).withColumnsRenamed({"uid": "u", "th": "t"})
-    both = work.join(per, same_text(), "left").select("uid", "th", "text", "spans")
+    places = materialize(repeated(anchors(work, length, hot_anchors(work, length))), "places")
+    spans = spans_of(materialize(contexts(work, places, length), "contexts"), length, group)
+    per = spans.groupBy("uid", "th").agg(F.collect_list(F.struct("start", "stop")).alias("spans")).withColumnsRenamed({"uid": "u", "th": "t"})
+    both = work.join(per, same_text(), "left").select("rid", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(2).cast(pa.binary())
+            texts = batch.column(1).cast(pa.binary())
             removed, runs, shas, kept = [], [], [], []
             for i in range(batch.num_rows):
-                rest, gone, n_spans = cut(texts[i].as_py(), batch.column(3)[i].as_py())
+                rest, gone, n_spans = cut(texts[i].as_py(), batch.column(2)[i].as_py())
                 removed.append(gone)
                 runs.append(n_spans)
                 shas.append(hashlib.sha256(rest).hexdigest())
                 kept.append(rest.decode("utf-8", "ignore") if with_text else None)
-            out = [batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(shas, pa.string()), pa.array(kept, pa.string())]
-            yield pa.RecordBatch.from_arrays(out, names=["u", "t", "removed", "runs", "kept", "rest"])
-
-    done = materialize(both.mapInArrow(run, "u long, t long, removed long, runs long, kept string, rest string"), "cut")
-    first = F.row_number().over(Window.partitionBy("uid", "sha").orderBy("n_bytes")) == 1 if repeats_id else F.lit(True)
-    rows = small.withColumns({"th": of_sha, "first": first})
-    rows = rows.join(done, same_text() & F.col("first") & (F.col("n_bytes") >= length), "left")
-    short, found = F.col("n_bytes") < length, F.col("u").isNotNull()
+            out = [batch.column(0), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(shas, pa.string()), pa.array(kept, pa.string())]
+            yield pa.RecordBatch.from_arrays(out, names=["first", "removed", "runs", "kept", "rest"])
+
+    done = materialize(both.mapInArrow(run, "first long, removed long, runs long, kept string, rest string"), "cut")
+    spark.sql(f"DROP TABLE {name}")
+    rows = small.join(done, F.col("rid") == F.col("first"), "left")
+    short, found = F.col("n_bytes") < length, F.col("first").isNotNull()
     if with_text:
         kept = F.when(short, F.col("short")).when(found, F.col("rest")).otherwise("")
         return rows.select(*(kept.alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))
