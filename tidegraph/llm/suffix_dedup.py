@@ -34,7 +34,7 @@ from tidegraph.llm.deepshallow import deep_shallow, lcp_array
 LENGTH = 100
 GRAM = 20
 #: Different contexts that are sorted together in one task; larger groups are split.
-GROUP = 8_192
+GROUP = 2_048
 #: Counters of a task's summary of its anchors, for each shuffle partition.
 COUNTERS = 8
 SALTS = 1 << 20
@@ -92,9 +92,10 @@ def minimizers(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tupl
     return p[keep], v[keep]
 
 
-def same_text() -> Column:
-    """``(uid, th)`` against ``(u, t)``, the keys that texts are bucketed by."""
-    return (F.col("uid") == F.col("u")) & (F.col("th") == F.col("t"))
+def same_text(repeats_id: bool) -> Column:
+    """``(uid, th)`` against ``(u, t)``: the keys that texts are bucketed by. Where ids are unique, th is none of them."""
+    same = F.col("uid") == F.col("u")
+    return same & (F.col("th") == F.col("t")) if repeats_id else same
 
 
 def frequent(h: np.ndarray, c: np.ndarray, counters: int) -> tuple[np.ndarray, np.ndarray]:
@@ -185,10 +186,9 @@ def repeated(places: DataFrame) -> DataFrame:
     return places.repartition(n, "h", "salt").sortWithinPartitions("h").mapInArrow(run, "uid long, th long, pos int")
 
 
-def contexts(work: DataFrame, places: DataFrame, length: int) -> DataFrame:
-    """What lies before and after each anchor: all that a window over it can hold."""
-    spots = places.groupBy("uid", "th").agg(F.collect_list("pos").alias("spots")).withColumnsRenamed({"uid": "u", "th": "t"})
-    both = work.join(spots, same_text()).select("uid", "th", "text", "spots")
+def contexts(work: DataFrame, spots: DataFrame, length: int, repeats_id: bool) -> DataFrame:
+    """What lies before and after each repeated anchor: all that a window over it can hold."""
+    both = work.join(spots, same_text(repeats_id)).select("uid", "th", "text", "spots")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -297,8 +297,15 @@ def sorted_spans(different: DataFrame, length: int) -> DataFrame:
     return rows.repartition(n, "key").sortWithinPartitions("key", "uid", "th", "pos").mapInArrow(run, "uid long, th long, start long, stop long")
 
 
-def spans_of(ctx: DataFrame, length: int, group: int = GROUP) -> DataFrame:
-    """``(uid, th, start, stop)``: bytes of windows that start earlier, from written contexts.
+def first_contexts(ctx: DataFrame, length: int) -> DataFrame:
+    """Of equal rows ``(lo, hi, before, after)``, the first place; and the ``key`` of the row."""
+    firsts = ctx.groupBy("lo", "hi", "before", "after").agg(F.min(F.struct("uid", "th", "pos")).alias("p"))
+    key = F.concat(F.concat_ws(" ", "lo", "hi", F.lit("")).cast("binary"), F.substring(F.col("before"), F.lit(1), F.col("lo")), F.substring(F.col("after"), F.lit(1), F.lit(length) - F.col("hi")))
+    return materialize(firsts.select(key.alias("key"), "lo", "hi", "before", "after", "p.uid", "p.th", "p.pos"), "first-contexts")
+
+
+def spans_of(firsts: DataFrame, length: int, group: int = GROUP) -> DataFrame:
+    """``(uid, th, start, stop)``: bytes of windows that start earlier, from the first places of different contexts.
 
     A row is responsible for the windows that start ``lo`` to ``hi`` bytes before its
     anchor, at first all of them. Windows of that range can only be equal where ``lo`` bytes before and
@@ -307,21 +314,13 @@ def spans_of(ctx: DataFrame, length: int, group: int = GROUP) -> DataFrame:
     window has the whole window as its key, and so one context. No key is ever one task's
     alone: equal contexts are combined map-side, and ``spread_join`` finds the rows to split.
     """
-    level = ctx.select(F.lit(0).alias("lo"), F.lit(length - GRAM).alias("hi"), "before", "after", "uid", "th", "pos")
-    place, out = F.struct("uid", "th", "pos"), None
+    out = None
 
     def add(found: DataFrame) -> None:
         nonlocal out
         out = found if out is None else out.unionByName(found)
 
     while True:
-        firsts = level.groupBy("lo", "hi", "before", "after").agg(F.min(place).alias("p"))
-        key = F.concat(F.concat_ws(" ", "lo", "hi", F.lit("")).cast("binary"), F.substring(F.col("before"), F.lit(1), F.col("lo")), F.substring(F.col("after"), F.lit(1), F.lit(length) - F.col("hi")))
-        firsts = materialize(firsts.select(key.alias("key"), "lo", "hi", "before", "after", "p.uid", "p.th", "p.pos"), "first-contexts")
-        # All places but the first repeat the windows of their whole context.
-        least, most = F.greatest("lo", F.lit(length) - F.length("after")), F.least("hi", F.length("before"))
-        whole = level.select("lo", "hi", "uid", "th", "pos", least.alias("least"), most.alias("most")).where("least <= most").join(firsts.select("lo", "hi", "uid", "th", "pos"), ["lo", "hi", "uid", "th", "pos"], "left_anti")
-        add(whole.select("uid", "th", (F.col("pos") - F.col("most")).cast("long").alias("start"), (F.col("pos") - F.col("least") + length).cast("long").alias("stop")))
         sizes = firsts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
         sizes = materialize(sizes.select("key", "n", (F.col("n") > group).alias("crowded")), "context-counts")
         if sizes.where("crowded").isEmpty():
@@ -335,6 +334,18 @@ def spans_of(ctx: DataFrame, length: int, group: int = GROUP) -> DataFrame:
         # What no window of the range can hold is left out, so that more contexts are equal.
         halves = halves.where((F.length("before") >= F.col("l")) & (F.length("after") >= F.lit(length) - F.col("h")))
         level = materialize(halves.select(F.col("l").alias("lo"), F.col("h").alias("hi"), F.substring(F.col("before"), F.lit(1), F.col("h")).alias("before"), F.substring(F.col("after"), F.lit(1), F.lit(length) - F.col("l")).alias("after"), "uid", "th", "pos"), "split-contexts")
+        firsts = first_contexts(level, length)
+        # All places but the first repeat the windows of their whole context.
+        least, most = F.greatest("lo", F.lit(length) - F.length("after")), F.least("hi", F.length("before"))
+        whole = level.select("lo", "hi", "uid", "th", "pos", least.alias("least"), most.alias("most")).where("least <= most").join(firsts.select("lo", "hi", "uid", "th", "pos"), ["lo", "hi", "uid", "th", "pos"], "left_anti")
+        add(whole.select("uid", "th", (F.col("pos") - F.col("most")).cast("long").alias("start"), (F.col("pos") - F.col("least") + length).cast("long").alias("stop")))
+
+
+def whole_contexts(spots: list[int], firsts: list[int] | None, size: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the contexts of anchors that aren't the first of theirs: all their windows are repeats."""
+    pos = np.setdiff1d(np.array(spots, "i8"), np.array(firsts or [], "i8"))
+    start, stop = np.maximum(pos - length + GRAM, 0), np.minimum(pos + length, size)
+    return start[stop - start >= length], stop[stop - start >= length]
 
 
 def merged(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -345,11 +356,11 @@ def merged(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return lo[new], hi[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(hi) - 1]])]
 
 
-def cut(text: bytes, spans: list[dict]) -> tuple[bytes, int, int]:
+def cut(text: bytes, lo: np.ndarray, hi: np.ndarray) -> tuple[bytes, int, int]:
     """(rest, bytes removed, runs removed)."""
-    if not spans:
+    if not len(lo):
         return text, 0, 0
-    lo, hi = merged(np.array([s["start"] for s in spans]), np.array([s["stop"] for s in spans]))
+    lo, hi = merged(lo, hi)
     edges = [0, *np.column_stack([lo, hi]).ravel().tolist(), len(text)]
     rest = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
     return rest, int((hi - lo).sum()), len(lo)
@@ -392,22 +403,29 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, with_text: bool = F
     texts = base.where(F.octet_length("text") >= length).select("uid", th.alias("th"), "text")
     if repeats_id:
         texts = texts.dropDuplicates(["uid", "th"])
-    work = texts.join(firsts, same_text()).select("uid", "th", "rid", "text")
+    work = texts.join(firsts, same_text(repeats_id)).select("uid", "th", "rid", "text")
     name, n = f"suffix_texts_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
-    work.write.bucketBy(n, "uid", "th").option("path", fresh_path(spark, "suffix-texts")).option("compression", "zstd").saveAsTable(name)
+    work.write.bucketBy(n, *["uid", "th"][: 1 + repeats_id]).option("path", fresh_path(spark, "suffix-texts")).option("compression", "zstd").saveAsTable(name)
     work = spark.table(name)
 
-    places = materialize(repeated(anchors(work, length, hot_anchors(work, length))), "places")
-    spans = spans_of(materialize(contexts(work, places, length), "contexts"), length, group)
-    per = spans.groupBy("uid", "th").agg(F.collect_list(F.struct("start", "stop")).alias("spans")).withColumnsRenamed({"uid": "u", "th": "t"})
-    both = work.join(per, same_text(), "left").select("rid", "text", "spans")
+    lists = lambda df, what, name: df.groupBy("uid", "th").agg(F.collect_list(what).alias(name)).withColumnsRenamed({"uid": "u", "th": "t"})
+    # All lists below are of one text, and shorter than it.
+    spots = materialize(lists(repeated(anchors(work, length, hot_anchors(work, length))), "pos", "spots"), "spots")
+    ctx = contexts(work, spots, length, repeats_id).select(F.lit(0).alias("lo"), F.lit(length - GRAM).alias("hi"), "before", "after", "uid", "th", "pos")
+    different = first_contexts(ctx, length)
+    spans = lists(spans_of(different, length, group), F.struct("start", "stop"), "spans")
+    known = spots.join(lists(different, "pos", "firsts"), ["u", "t"], "left").join(spans, ["u", "t"], "left")
+    both = work.join(known, same_text(repeats_id), "left").select("rid", "text", "spots", "firsts", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
             removed, runs, shas, kept = [], [], [], []
             for i in range(batch.num_rows):
-                rest, gone, n_spans = cut(texts[i].as_py(), batch.column(2)[i].as_py())
+                text, (spots, firsts, spans) = texts[i].as_py(), (batch.column(c)[i].as_py() for c in (2, 3, 4))
+                lo, hi = whole_contexts(spots or [], firsts, len(text), length)
+                more = np.array([(x["start"], x["stop"]) for x in spans or []], "i8").reshape(-1, 2)
+                rest, gone, n_spans = cut(text, np.concatenate([lo, more[:, 0]]), np.concatenate([hi, more[:, 1]]))
                 removed.append(gone)
                 runs.append(n_spans)
                 shas.append(hashlib.sha256(rest).hexdigest())
