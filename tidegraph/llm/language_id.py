@@ -20,16 +20,16 @@ from pyspark.sql import functions as F
 from tidegraph.llm.common import bounded, documents, fold, materialize
 
 FOLDS = 3
-#: Documents that the tables are learned from, at most (about; a hash of ids chooses).
-TRAIN_DOCS = 20_000
-#: Words, and n-grams of each length, that the tables hold at most.
-MAX_WORDS, MAX_GRAMS = 60_000, 20_000
+#: Documents that the tables are learned from, at most (about; a hash of ids chooses). The
+#: tables hold every word and n-gram of these.
+TRAIN_DOCS = 6_000
 LONGEST = 4
 #: Weight of each shorter n-gram against the one before it.
 BACKOFF = 0.4
 UNKNOWN = "und"
+#: Letters, and what else Python counts as such: numbers like \u00b2, \u00bd and \u2167, which are cut out of the words that have any.
 LETTERS = re.compile(r"[^\W\d_]+")
-#: Letters in Spark's regular expressions.
+#: Letters in Spark's regular expressions, which training cuts words by.
 SPARK_LETTERS = r"(\p{L}+)"
 CACHE = 300_000
 
@@ -44,12 +44,17 @@ class Tables:
     prior: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
 
-def train(docs: DataFrame, *, train_docs: int = TRAIN_DOCS, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> Tables:
+def letters_only(token: str) -> list[str]:
+    """Runs of letters (categories L) of a token."""
+    return [token] if token.isalpha() else "".join(c if c.isalpha() else " " for c in token).split()
+
+
+def train(docs: DataFrame, *, train_docs: int = TRAIN_DOCS) -> Tables:
     """``docs(doc_id, text, lang)`` -> tables of log relative frequencies.
 
     Learns from rows that have an id, a text and a lang and aren't held out,
     from at most about ``train_docs`` of them. Counts are aggregated on the
-    executors; the most frequent entries of each table come to the driver.
+    executors; the tables of this bounded sample come to the driver. An empty table teaches nothing.
     """
     own = docs.where((fold("doc_id", FOLDS) != 1) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
     own = materialize(bounded(own, "doc_id", train_docs).select("text", "lang"), "lang-labelled")
@@ -62,22 +67,22 @@ def train(docs: DataFrame, *, train_docs: int = TRAIN_DOCS, max_words: int = MAX
 
     logs: list[np.ndarray] = []
 
-    def table(rows: DataFrame, most: int) -> dict[str, int]:
+    def table(rows: DataFrame) -> dict[str, int]:
         spread = rows.groupBy("term").agg(F.sum("n").alias("n"), *(F.sum(F.when(F.col("lang") == k, F.col("n")).otherwise(0)).alias(f"n{i}") for i, k in enumerate(langs)))
-        got = spread.where("n > 1").orderBy(F.desc("n"), "term").limit(most).toPandas()
+        got = spread.orderBy("term").toPandas()
         n = got.iloc[:, 2:].to_numpy(float)
         v = np.log(n / np.maximum(n.sum(axis=0), 1) + 0.5 / max(n.sum(), 1))
         at = sum(map(len, logs))
         logs.append(v - v.mean(axis=1, keepdims=True))
         return dict(zip(got["term"], range(at, at + len(got)), strict=True))
 
-    words = table(counts, max_words)
+    words = table(counts)
     padded = F.concat(F.lit(" "), "term", F.lit(" "))
     grams = []
     for k in range(1, LONGEST + 1):
         each = F.explode(F.transform(F.sequence(F.lit(1), F.length(padded) - (k - 1)), _gram(padded, k)))
         rows = counts.where(F.length(padded) >= k).select("lang", "n", each.alias("term")).groupBy("term", "lang").agg(F.sum("n").alias("n"))
-        grams.append(table(rows, max_grams))
+        grams.append(table(rows))
     prior = np.array([math.log(totals.get(k, 0) + 1.0) for k in langs])
     return Tables(langs, words, grams, np.vstack(logs), prior - np.logaddexp.reduce(prior))
 
@@ -144,6 +149,9 @@ class Scorer:
         if len(self.number) > self.limit:
             self.number.clear()
         split = [LETTERS.findall(t.lower()) for t in texts]
+        odd = {w for w in set().union(*split).difference(self.number) if not w.isalpha()}
+        if odd:
+            split = [[x for w in words for x in (letters_only(w) if w in odd else (w,))] for words in split]
         self.learn(list(set().union(*split).difference(self.number)))
         get, out = self.number.__getitem__, []
         for words in split:
@@ -163,7 +171,8 @@ def identify(docs: DataFrame, tables: Tables) -> DataFrame:
 
     A text that is null or has no letters is ``und`` with score 0, as is every
     text where there was nothing to learn from. Among equal languages the first
-    by name wins. Other columns are ignored.
+    by name wins. Whole texts count, however long. Repeated rows are scored alike and a null id
+    stays null; other columns are ignored, whatever their names; an empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -152,8 +152,10 @@ def classify(stats: DataFrame, model: Discriminant, *, threshold: float = THRESH
 
 def quality_scores(docs: DataFrame, marks: DataFrame) -> DataFrame:
     """Fit on the labels (``marks(doc_id, quality)``) of all folds but the held out
-    one, over all their documents, and score every row of ``docs``. Repeated
-    rows score alike; null ids have score but no label; other columns are ignored."""
+    one, over all their documents, and score every row of ``docs``. Null, empty and blank texts score 0; whole
+    texts count, however long. Repeated rows score alike; null ids have score but no label; other columns are
+    ignored, whatever their names. An empty table of documents gives no rows; without labels the
+    model is a standard normal for both classes."""
     stats = materialize(statistics(docs), "statistics")
     own = marks.where((fold("doc_id", FOLDS) != 0) & F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).select(F.col("doc_id").alias("__id"), F.col("quality").cast("int").alias("y")).dropDuplicates(["__id"])
     rows = materialize(stats.where("has_words").join(own, F.col("doc_id") == F.col("__id")).select("y", "x"), "labelled")

@@ -25,20 +25,20 @@ FOLDS = 5
 THRESHOLD = 0.5
 #: Labelled documents that lexicon and weights are learned from, at most (about).
 TRAIN_DOCS = 12_000
-MAX_TERMS = 2_000
 MIN_DOCS = 3
-#: Least share of the toxic documents that a term occurs in.
+#: Least share of the toxic documents that a term occurs in. A text has so many different words,
+#: so this bounds the lexicon too, whatever the number of documents.
 MIN_SHARE = 0.008
 #: A term is this many times likelier in toxic documents.
 MIN_RATIO = 20.0
 STEMS = (4, 5, 6, 7, 8)
-#: Words on each side of a match that tell how it is used.
-CONTEXT = 6
-TOKEN = re.compile(r"[^\W_]+|[\"“”„«»‘’]|\n")
+#: Terms from this length on are found misspelled; those below FUZZY_LONG only in words that clean labelled documents don't have.
+FUZZY_FROM, FUZZY_LONG = 4, 5
+#: Words on each side of a match that tell how it is used, and documents added to each count of theirs.
+CONTEXT, SMOOTH = 6, 4.0
+#: Letters and digits, with the signs that stand for letters before or between them; quotation marks; line ends.
+TOKEN = re.compile(r"[@$]?[^\W_]+(?:[@$]+[^\W_]+)*|[\"“”„«»‘’]|\n")
 QUOTES = frozenset("\"“”„«»‘’")
-#: Words that announce a quotation or a mention, and words that address someone.
-MENTION = frozenset("said says wrote called word term quote quoted quotes reported dijo escribió palabra cita dit écrit mot citation sagte schrieb wort zitat".split())
-ADDRESS = frozenset("you your yourself youre u tu toi vous te ti usted du dich dir ihr euch".split())
 #: Digits and signs that stand for letters.
 LOOKALIKE = str.maketrans("013457@$", "oieastas")
 KINDS = 4  # whole word exact, stem exact, whole word misspelled, stem misspelled
@@ -54,7 +54,7 @@ class Automaton:
 
     DEAD = -1
 
-    def __init__(self, words: list[str], stems: list[str], fuzzy_from: int = 5, limit: int = 200_000):
+    def __init__(self, words: list[str], stems: list[str], fuzzy_from: int = FUZZY_FROM, limit: int = 200_000):
         self.fuzzy_from, self.limit = fuzzy_from, limit
         self.children: list[dict[str, int]] = [{}]
         self.word_at: dict[int, str] = {}
@@ -143,14 +143,18 @@ class Automaton:
         return min(ways) if ways else None
 
 
-#: Per kind: log of matches in abuse, in quotation and addressed, and share of words; then the text's size.
+#: Per kind: log of matches in abuse and in quotation, the mean of their windows' log odds, and share of words; then the text's size.
 FEATURES = KINDS * 4 + 2
 
 
 @dataclass
 class Model:
+    """What is learned: terms, words near them that tell abuse (above 0) from quotation, words that are no misspellings, weights."""
+
     words: list[str] = field(default_factory=list)
     stems: list[str] = field(default_factory=list)
+    context: dict[str, float] = field(default_factory=dict)
+    clean: frozenset[str] = frozenset()
     weights: np.ndarray = field(default_factory=lambda: np.array([-4.0, 0.0] + [1.5, -0.5, 1.0, 0.5] * KINDS))
 
     def score(self, x: np.ndarray) -> np.ndarray:
@@ -160,12 +164,16 @@ class Model:
 class Scanner:
     """Finds terms in texts and scores their windows."""
 
-    def __init__(self, words: list[str], stems: list[str], limit: int = 300_000):
-        self.automaton, self.known, self.limit = Automaton(words, stems), {}, limit
+    def __init__(self, model: Model, limit: int = 300_000):
+        self.automaton, self.known, self.limit = Automaton(model.words, model.stems), {}, limit
+        self.context, self.clean = model.context, model.clean
 
     def lookup(self, word: str) -> tuple[int, str] | None:
-        plain = word.translate(LOOKALIKE) if not word.isalpha() else word
-        return self.automaton.match(plain)
+        """(kind, term) of the best match of a token, with signs read as letters where it has any."""
+        found = self.automaton.match(word.translate(LOOKALIKE) if not word.isalpha() else word)
+        if found and found[0] > 1 and len(found[1]) < FUZZY_LONG and word in self.clean:
+            return None
+        return found
 
     def matches(self, text: str) -> tuple[list[tuple[int, int, str]], list[str]]:
         """``(token number, kind, term)`` of each match, and the text's tokens."""
@@ -180,38 +188,42 @@ class Scanner:
             return [], tokens
         return [(i, *known[t]) for i, t in enumerate(tokens) if t in hits], tokens
 
+    def windows(self, text: str) -> list[list[str]]:
+        """The words around each match, without the match."""
+        hits, tokens = self.matches(text)
+        return [[t for t in tokens[max(0, i - CONTEXT) : i] + tokens[i + 1 : i + CONTEXT + 1] if t not in QUOTES and t != "\n"] for i, _, _ in hits]
+
     def features(self, text: str) -> list[float]:
-        """Window scores of a whole text."""
+        """Window scores of a whole text.
+
+        A match is quoted if quotation marks stand on both sides of it in its window, or if the
+        words of its window speak for a quotation: their log odds, learned from labelled documents, are below 0.
+        """
         hits, tokens = self.matches(text)
         n = max(len(tokens), 1)
         out = [1.0, math.log1p(n) / 10] + [0.0] * (KINDS * 4)
         if not hits:
             return out
-        abuse, quoted, addressed, count = ([0.0] * KINDS for _ in range(4))
+        abuse, quoted, odds, count = ([0.0] * KINDS for _ in range(4))
         open_quotes = np.cumsum([t in QUOTES for t in tokens])
         for i, kind, _ in hits:
             lo, hi = max(0, i - CONTEXT), i + CONTEXT + 1
-            window = tokens[lo:hi]
             before = open_quotes[i] - (open_quotes[lo - 1] if lo else 0)
             after = open_quotes[min(hi, len(tokens)) - 1] - open_quotes[i]
-            quote = (before > 0 and after > 0) or not MENTION.isdisjoint(window)
+            speaks = sum(self.context.get(t, 0.0) for t in tokens[lo:i] + tokens[i + 1 : hi])
             count[kind] += 1
-            if quote:
-                quoted[kind] += 1
-            else:
-                abuse[kind] += 1
-            if not ADDRESS.isdisjoint(window):
-                addressed[kind] += 1
+            odds[kind] += speaks
+            (quoted if (before > 0 and after > 0) or speaks < -1 else abuse)[kind] += 1
         for k in range(KINDS):
-            out[2 + 4 * k : 6 + 4 * k] = [math.log1p(abuse[k]), math.log1p(quoted[k]), math.log1p(addressed[k]), min(1.0, 10 * count[k] / n)]
+            out[2 + 4 * k : 6 + 4 * k] = [math.log1p(abuse[k]), math.log1p(quoted[k]), math.tanh(odds[k] / max(count[k], 1) / 4), min(1.0, 10 * count[k] / n)]
         return out
 
 
-def learn_lexicon(rows: DataFrame, *, max_terms: int = MAX_TERMS, min_docs: int = MIN_DOCS, min_ratio: float = MIN_RATIO) -> tuple[list[str], list[str]]:
+def learn_lexicon(rows: DataFrame, *, min_docs: int = MIN_DOCS, min_ratio: float = MIN_RATIO) -> tuple[list[str], list[str]]:
     """``rows(text, y)`` -> (words, stems) that toxic documents have far more often.
 
     Document frequencies of words and of word beginnings are counted over all
-    rows; the best ``max_terms`` of each come to the driver. A beginning counts
+    rows; those that enough toxic documents have come to the driver. A beginning counts
     as a stem only where it clearly explains more toxic documents than each word
     that it begins.
     """
@@ -223,18 +235,17 @@ def learn_lexicon(rows: DataFrame, *, max_terms: int = MAX_TERMS, min_docs: int
         return [], []
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}{2,40})"), F.lit(1)))
 
-
     def begun(k: int) -> Column:
         return F.transform(F.filter("w", lambda x: F.length(x) > k), lambda x: F.concat(F.substring(x, 1, k), F.lit("*")))
 
     terms = rows.select("y", F.xxhash64("text").alias("doc"), words.alias("w")).select("y", "doc", F.explode(F.array_distinct(F.concat("w", *map(begun, STEMS)))).alias("term"))
     counted = terms.groupBy("term").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b")).where(F.col("a") >= max(min_docs, MIN_SHARE * n1))
     ratio = (F.col("a") / n1) / ((F.col("b") + 0.5) / n0)
-    best = counted.withColumn("r", ratio).where(F.col("r") >= min_ratio).orderBy(F.desc(F.col("a") / n1 * F.log("r")), "term").limit(2 * max_terms).collect()
+    best = counted.withColumn("r", ratio).where(F.col("r") >= min_ratio).orderBy("term").collect()
     share = {r["term"]: (r["a"], r["b"]) for r in best}
     if not share:
         return [], []
-    # Which candidates each toxic document has: at most 2 * max_terms for each of the sample's documents.
+    # Which candidates each toxic document of the sample has.
     chosen = F.broadcast(rows.sparkSession.createDataFrame([(t,) for t in share], "term string"))
     held = [set(r[1]) for r in terms.where("y = 1").join(chosen, "term").groupBy("doc").agg(F.collect_list("term")).collect()]
     single = {t for t in share if not t.endswith("*")}
@@ -260,7 +271,7 @@ def learn_lexicon(rows: DataFrame, *, max_terms: int = MAX_TERMS, min_docs: int
             for i in docs:
                 explained[i] += 1
             kept[key.endswith("*")].append(key.rstrip("*"))
-    return sorted(kept[0])[:max_terms], sorted(kept[1])[:max_terms]
+    return sorted(kept[0]), sorted(kept[1])
 
 
 def fit_weights(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 30) -> np.ndarray:
@@ -278,27 +289,75 @@ def fit_weights(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int =
     return w
 
 
+def learn_context(rows: DataFrame, model: Model, *, min_docs: int = MIN_DOCS, smooth: float = SMOOTH) -> dict[str, float]:
+    """``rows(text, y)`` -> log odds of words near matches: how much likelier a toxic document that has
+    matches has the word near one than a clean document that has matches.
+
+    Counts are of different documents, and ``smooth`` documents of either kind are added at the
+    word's overall rate, so that words say nothing where too few clean documents name a term.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scanner = Scanner(model)
+        for batch in batches:
+            found = [sorted({t for w in scanner.windows(x or "") for t in w} | ({""} if scanner.matches(x or "")[0] else set())) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.string()))], names=["y", "near"])
+
+    near = rows.select(F.col("y").cast("int").alias("y"), "text").mapInArrow(run, "y int, near array<string>").select("y", F.explode("near").alias("term"))
+    counts = near.groupBy("term").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b")).where((F.col("a") + F.col("b") >= min_docs) | (F.col("term") == "")).collect()
+    counts = {r["term"]: (r["a"], r["b"]) for r in counts}  # words near matches in the sample
+    n1, n0 = counts.pop("", (0, 0))
+    if not n1 or not n0:
+        return {}
+    out = {}
+    for term, (a, b) in counts.items():
+        rate = (a + b) / (n1 + n0)
+        out[term] = math.log((a + smooth * rate) / (n1 + smooth)) - math.log((b + smooth * rate) / (n0 + smooth))
+    return out
+
+
+def clean_words(rows: DataFrame, model: Model) -> frozenset[str]:
+    """Words of clean documents that are one edit from a short term: no misspellings of it."""
+    words = rows.where("y = 0").select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}{2,40})"), F.lit(1)))).alias("w")).distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        match = Automaton(model.words, model.stems).match
+        for batch in batches:
+            got = ((w, match(w)) for w in batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, m in got if m and m[0] > 1 and len(m[1]) < FUZZY_LONG], pa.string())], names=["w"])
+
+    # At most as many as there are words within an edit of a short term.
+    return frozenset(r["w"] for r in words.mapInArrow(run, "w string").collect())
+
+
 def train(docs: DataFrame, marks: DataFrame, *, train_docs: int = TRAIN_DOCS, seed_words: tuple[str, ...] = ()) -> Model:
-    """Learn lexicon and weights from at most about ``train_docs`` labelled documents
+    """Learn lexicon, contexts and weights from at most about ``train_docs`` labelled documents
     that aren't held out. Without labels of both kinds, the lexicon is
-    ``seed_words`` and the weights are the default ones."""
+    ``seed_words`` and the weights are the default ones. Null ids, texts and labels teach nothing;
+    of ``docs`` only doc_id and text are read, of ``marks`` doc_id and toxic."""
     own = marks.where((fold("doc_id", FOLDS) != 0) & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).select(F.col("doc_id").alias("__id"), F.col("toxic").cast("int").alias("y")).dropDuplicates(["__id"])
     own = bounded(own, "__id", train_docs)
-    rows = materialize(docs.where("text is not null").join(F.broadcast(own), F.col("doc_id") == F.col("__id")).select(F.col("text").cast("string").alias("text"), "y"), "toxic-labelled")
+    texts = docs.where("text is not null").select("doc_id", F.col("text").cast("string").alias("text"))
+    rows = materialize(texts.join(F.broadcast(own), F.col("doc_id") == F.col("__id")).select("text", "y"), "toxic-labelled")
     words, stems = learn_lexicon(rows)
-    words = sorted({*words, *seed_words})
-    if not words and not stems:
-        return Model(list(seed_words))
-    got = _features(rows.select(F.col("y").cast("long").alias("doc_id"), "text"), Model(words, stems)).groupBy("doc_id", "x").count().collect()  # bounded by train_docs
+    model = Model(sorted({*words, *seed_words}), stems)
+    if not model.words and not stems:
+        return model
+    model.clean = clean_words(rows, model)
+    model.context = learn_context(rows, model)
+    got = _features(rows.select(F.col("y").cast("long").alias("doc_id"), "text"), model).groupBy("doc_id", "x").count().collect()  # bounded by train_docs
+    if {r["doc_id"] for r in got} != {0, 1}:
+        return model
     x, y, n = np.array([r["x"] for r in got]), np.array([r["doc_id"] for r in got], float), np.array([r["count"] for r in got])
     x, y = np.repeat(x, n, axis=0), np.repeat(y, n)
     order = np.lexsort(x.T)
-    return Model(words, stems, fit_weights(x[order], y[order]))
+    model.weights = fit_weights(x[order], y[order])
+    return model
 
 
 def _features(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(model.words, model.stems)
+        scanner = Scanner(model)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
@@ -312,11 +371,12 @@ def toxicity_scores(docs: DataFrame, model: Model, *, threshold: float = THRESHO
     """``docs(doc_id, text)`` -> ``(doc_id, held_out, score, predicted, terms)``, a row per row.
 
     ``terms`` are the lexicon terms that were found. Null and empty texts have
-    score 0. Repeated rows score alike; other columns are ignored.
+    score 0. Whole texts are read, however long. Repeated rows and ids score alike, a null id stays null;
+    other columns are ignored, whatever their names; an empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(model.words, model.stems)
+        scanner = Scanner(model)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
@@ -331,10 +391,11 @@ def toxicity_scores(docs: DataFrame, model: Model, *, threshold: float = THRESHO
 
 
 def keep_clean(docs: DataFrame, model: Model, *, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, all columns, whose texts score below ``threshold``."""
+    """The rows of ``docs``, all columns, whose texts score below ``threshold``: null and empty ones
+    among them, repeated ones together. An empty table gives no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(model.words, model.stems)
+        scanner = Scanner(model)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)

@@ -274,7 +274,7 @@ def round_trip(pages: DataFrame, *, folder: str | None = None, min_bytes: int =
     record_type, refers_to, uri)``, a row per row of ``pages(page_id, url, html)``.
 
     Null html is an empty payload; a null or blank url becomes a URN; a null
-    page_id stays null. All that is returned comes from the archives. Other
+    page_id stays null. A payload may be as long as a row can be. All that is returned comes from the archives. Other
     columns are ignored; an empty table gives no rows and no archives.
     """
     folder = folder or fresh_path(pages.sparkSession, "warc")
