@@ -162,7 +162,7 @@ def test_automaton_is_levenshtein():
 
 
 def test_quotation_counts_apart():
-    s = toxicity.Scanner(toxicity.Model(["idiot"], [], {"wrote": -3.0, "you": 1.0}))
+    s = toxicity.Scanner(toxicity.Model(["idiot"], [], {"wrote": -4.0, "you": 1.0}))
     assert s.features("you are an idiot")[2:5] == [pytest.approx(0.693, abs=1e-3), 0, pytest.approx(0.245, abs=1e-3)]
     assert s.features('the "idiot" of the book')[2] == 0 and s.features("he wrote idiot twice")[2:4] == [0, pytest.approx(0.693, abs=1e-3)]
     assert s.features("1diot")[2] > 0 and s.features("idiott")[2 + 8] > 0 and s.features("an id!ot")[2] == 0
@@ -186,7 +186,7 @@ def test_windows_are_those_of_a_plain_version():
         return p[-1]
 
     rng = random.Random(7)
-    terms, context = ["moron", "scum", "clowns"], {"said": -2.0, "you": 1.5, "it": 0.25}
+    terms, context = ["moron", "scum", "clowns"], {"said": -2.0, "you": 1.5, "it": -0.75}
     s = toxicity.Scanner(toxicity.Model(terms, [], context))
     words = [*terms, "morn", "mroon", "clown", "skum", "said", "you", "it", "a", '"', "“", "\n", "x1"]
     for _ in range(200):
@@ -197,7 +197,7 @@ def test_windows_are_those_of_a_plain_version():
             if best and best[0] <= 1:
                 before, after = tokens[max(0, i - 6) : i], tokens[i + 1 : i + 7]
                 odds = sum(context.get(x, 0) for x in before + after)
-                quoted = odds < -1 or (any(x in '"“' for x in before) and any(x in '"“' for x in after))
+                quoted = odds < -3 or (any(x in '"“' for x in before) and any(x in '"“' for x in after))
                 own = n[2 * best[0]]
                 own[quoted] += 1
                 own[2] += odds
@@ -211,13 +211,13 @@ def test_windows_are_those_of_a_plain_version():
 def test_contexts_are_learned(spark):
     # The term is the same in both; the words around it tell abuse from report.
     rng = random.Random(8)
-    fill = [f"w{i}" for i in range(200)]
+    fill = ["".join(rng.choices("mnopqv", k=7)) for _ in range(200)]
     say = lambda *near: " ".join(rng.choices(fill, k=20) + list(near) + rng.choices(fill, k=20))
     rows = [(i, say("du", "bist", "ein", "grobian"), 1) for i in range(150)] + [(200 + i, say("laut", "bericht", "fiel", "grobian"), 0) for i in range(8)] + [(400 + i, say("und"), 0) for i in range(400)]
     df = spark.createDataFrame(rows, "doc_id long, text string, y int")
     model = toxicity.train(df, df.select("doc_id", F.col("y").alias("toxic")))
     assert "grobian" in model.words + model.stems or any("grobian".startswith(t) for t in model.stems)
-    assert model.context["bericht"] < -1 < 0 < model.context["bist"]
+    assert model.context["bericht"] < -1 and fill[0] not in model.context
     got = {r["doc_id"]: r["score"] for r in toxicity.toxicity_scores(spark.createDataFrame([(1, say("du", "bist", "ein", "grobian")), (2, say("laut", "bericht", "fiel", "grobian")), (3, say())], "doc_id long, text string"), model).collect()}
     assert got[1] > 0.5 > max(got[2], got[3])
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +34,11 @@ MIN_RATIO = 20.0
 STEMS = (4, 5, 6, 7, 8)
 #: Terms from this length on are found misspelled; those below FUZZY_LONG only in words that clean labelled documents don't have.
 FUZZY_FROM, FUZZY_LONG = 4, 5
-#: Words on each side of a match that tell how it is used, and documents added to each count of theirs.
-CONTEXT, SMOOTH = 6, 4.0
+#: Words on each side of a match that tell how it is used, documents added to each count of theirs, and
+#: the least log-likelihood ratio at which a word says anything: chance reaches it once in ten million words.
+CONTEXT, SMOOTH, TELLING = 6, 25.0, 28.0
+#: A window whose words have log odds below this, in sum, is a quotation.
+QUOTED = -3.0
 #: Letters and digits, with the signs that stand for letters before or between them; quotation marks; line ends.
 TOKEN = re.compile(r"[@$]?[^\W_]+(?:[@$]+[^\W_]+)*|[\"“”„«»‘’]|\n")
 QUOTES = frozenset("\"“”„«»‘’")
@@ -197,7 +200,7 @@ class Scanner:
         """Window scores of a whole text.
 
         A match is quoted if quotation marks stand on both sides of it in its window, or if the
-        words of its window speak for a quotation: their log odds, learned from labelled documents, are below 0.
+        words of its window speak for a quotation: their log odds, learned from labelled documents, are far below 0.
         """
         hits, tokens = self.matches(text)
         n = max(len(tokens), 1)
@@ -213,7 +216,7 @@ class Scanner:
             speaks = sum(self.context.get(t, 0.0) for t in tokens[lo:i] + tokens[i + 1 : hi])
             count[kind] += 1
             odds[kind] += speaks
-            (quoted if (before > 0 and after > 0) or speaks < -1 else abuse)[kind] += 1
+            (quoted if (before > 0 and after > 0) or speaks < QUOTED else abuse)[kind] += 1
         for k in range(KINDS):
             out[2 + 4 * k : 6 + 4 * k] = [math.log1p(abuse[k]), math.log1p(quoted[k]), math.tanh(odds[k] / max(count[k], 1) / 4), min(1.0, 10 * count[k] / n)]
         return out
@@ -293,7 +296,7 @@ def learn_context(rows: DataFrame, model: Model, *, min_docs: int = MIN_DOCS, sm
     """``rows(text, y)`` -> log odds of words near matches: how much likelier a toxic document that has
     matches has the word near one than a clean document that has matches.
 
-    Counts are of different documents, and ``smooth`` documents of either kind are added at the
+    Counts are of different texts, and ``smooth`` documents of either kind are added at the
     word's overall rate, so that words say nothing where too few clean documents name a term.
     """
 
@@ -303,7 +306,7 @@ def learn_context(rows: DataFrame, model: Model, *, min_docs: int = MIN_DOCS, sm
             found = [sorted({t for w in scanner.windows(x or "") for t in w} | ({""} if scanner.matches(x or "")[0] else set())) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.string()))], names=["y", "near"])
 
-    near = rows.select(F.col("y").cast("int").alias("y"), "text").mapInArrow(run, "y int, near array<string>").select("y", F.explode("near").alias("term"))
+    near = rows.select(F.col("y").cast("int").alias("y"), "text").distinct().mapInArrow(run, "y int, near array<string>").select("y", F.explode("near").alias("term"))
     counts = near.groupBy("term").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b")).where((F.col("a") + F.col("b") >= min_docs) | (F.col("term") == "")).collect()
     counts = {r["term"]: (r["a"], r["b"]) for r in counts}  # words near matches in the sample
     n1, n0 = counts.pop("", (0, 0))
@@ -312,7 +315,10 @@ def learn_context(rows: DataFrame, model: Model, *, min_docs: int = MIN_DOCS, sm
     out = {}
     for term, (a, b) in counts.items():
         rate = (a + b) / (n1 + n0)
-        out[term] = math.log((a + smooth * rate) / (n1 + smooth)) - math.log((b + smooth * rate) / (n0 + smooth))
+        ratio = 2 * sum(k * math.log(k / (n * rate)) for k, n in ((a, n1), (b, n0)) if k)
+        ratio += 2 * sum((n - k) * math.log((n - k) / (n * (1 - rate))) for k, n in ((a, n1), (b, n0)) if k < n)
+        if ratio >= TELLING:
+            out[term] = math.log((a + smooth * rate) / (n1 + smooth)) - math.log((b + smooth * rate) / (n0 + smooth))
     return out
 
 
@@ -344,8 +350,12 @@ def train(docs: DataFrame, marks: DataFrame, *, train_docs: int = TRAIN_DOCS, se
     if not model.words and not stems:
         return model
     model.clean = clean_words(rows, model)
+    # Weights are fitted on windows whose words were weighed by the other half of the documents, as those of new ones are.
+    halves = [rows.where(F.pmod(F.xxhash64("text"), F.lit(2)) == k) for k in (0, 1)]
+    each = [replace(model, context=learn_context(halves[1 - k], model)) for k in (0, 1)]
+    parts = [_features(half.select(F.col("y").cast("long").alias("doc_id"), "text"), own) for half, own in zip(halves, each, strict=True)]
+    got = parts[0].unionByName(parts[1]).groupBy("doc_id", "x").count().collect()  # bounded by train_docs
     model.context = learn_context(rows, model)
-    got = _features(rows.select(F.col("y").cast("long").alias("doc_id"), "text"), model).groupBy("doc_id", "x").count().collect()  # bounded by train_docs
     if {r["doc_id"] for r in got} != {0, 1}:
         return model
     x, y, n = np.array([r["x"] for r in got]), np.array([r["doc_id"] for r in got], float), np.array([r["count"] for r in got])
