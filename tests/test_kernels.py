@@ -81,6 +81,20 @@ def test_running_sum_over_blocks(spark):
     assert got == [sum(i % 7 for i in range(k)) for k in range(100)]
 
 
+def test_running_sum_of_sparse_ids(spark):
+    ids = sorted({(i * 7_919_777_777_777) % (1 << 50) - (1 << 49) for i in range(1, 401)})
+    df = spark.createDataFrame([(i,) for i in ids], "id long")
+    got = running_sum(df, "id", F.lit(1), "s", block=16)
+    assert [r["s"] for r in got.orderBy("id").collect()] == list(range(len(ids)))
+
+
+def test_a_long_path(spark):
+    # More levels than tables are kept apart, forward and backward.
+    g = tiny(spark, 31, [(i, i + 1) for i in range(30)]).settled()
+    assert column(bfs(g, 0), "depth") == list(range(31))
+    assert column(betweenness(g, 0), "dependency") == pytest.approx([30.0 - i for i in range(31)])
+
+
 def test_nearest_point_is_never_too_far(spark):
     places = [(1, 0.0, 0.0), (2, 3.0, 4.0), (3, 3.0, 4.0), (4, 5000.0, -7000.0), (5, float("nan"), 0.0), (6, None, 1.0), (7, float("inf"), 0.0)]
     asked = [(10, 0.4, 0.1), (11, 2000.0, 0.0), (12, 4000.0, -6000.0), (13, -90000.0, 90000.0), (14, None, 1.0), (15, 3.0, 5.0)]

@@ -18,8 +18,8 @@ def tiny(spark: SparkSession, n: int, edges: list[tuple[int, int]]) -> Graph:
     return Graph(spark.range(n).select("id"), spark.createDataFrame(edges, "src long, dst long"))
 
 
-def part_graph(spark: SparkSession, sf_dir: str, least_quantity: float | None = 48.0) -> Graph:
-    """Parts that follow each other in an order; edges of at least that quantity."""
+def part_graph(spark: SparkSession, sf_dir: str, least_quantity: float | None = None) -> Graph:
+    """Parts that follow each other in an order; ``least_quantity``: only edges of at least that, a sparser and deeper graph."""
     line = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     edges = line.select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(w).alias("dst"), F.col("l_quantity").alias("q")).where("dst is not null")
@@ -29,7 +29,7 @@ def part_graph(spark: SparkSession, sf_dir: str, least_quantity: float | None =
     return Graph(vertices, edges.select("src", "dst", F.col("q").alias("weight")))
 
 
-def settled_parts(spark: SparkSession, sf_dir: str, least_quantity: float | None = 48.0) -> Graph:
+def settled_parts(spark: SparkSession, sf_dir: str, least_quantity: float | None = None) -> Graph:
     return part_graph(spark, sf_dir, least_quantity).settled()
 
 

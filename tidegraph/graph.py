@@ -11,20 +11,31 @@ from tidegraph.store import bucketed, materialize
 
 PAGE_BYTES = 4096
 EDGE_BYTES = 4
-#: Ids in a block of a running sum: one task sums a block, one more the blocks.
+#: Rows in a block of a running sum, about: one task sums a block.
 SUM_BLOCK = 1 << 20
 
 
 def running_sum(df: DataFrame, order: str, value: Column, name: str, block: int = SUM_BLOCK) -> DataFrame:
-    """Adds ``name``: the sum of ``value`` over rows of smaller ``order`` (integers
-    from 0). No task sees more than a block, or one row for each block."""
-    keyed = df.withColumns({"__block": F.floor(F.col(order) / block), "__value": value})
-    blocks = keyed.groupBy("__block").agg(F.sum("__value").alias("__sum"))
+    """Adds ``name``: the sum of ``value`` over rows of smaller ``order`` (unique integers, however sparse).
+
+    Rows are cut into blocks of about ``block`` rows by the quantiles of ``order``, so that no task
+    sees more than a block, or one row for each block.
+    """
+    n = df.count()
+    blocks = -(-n // block)
+    cuts = df.stat.approxQuantile(order, [k / blocks for k in range(1, blocks)], min(0.01, 0.2 / blocks)) if blocks > 1 else []
+    number = F.lit(0)
+    if cuts:
+        edges = F.array(*(F.lit(int(c)) for c in sorted(set(cuts))))
+        number = F.size(F.filter(edges, lambda c: c < F.col(order)))
+    keyed = df.withColumns({"__block": number, "__value": value})
+    totals = keyed.groupBy("__block").agg(F.sum("__value").alias("__sum"))
     before = Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select(F.col("__block"), F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__before"))
+    totals = totals.select(F.col("__block"), F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__before"))
     inside = Window.partitionBy("__block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     summed = keyed.withColumn("__inside", F.coalesce(F.sum("__value").over(inside), F.lit(0)))
-    return summed.join(blocks, "__block").withColumn(name, F.col("__before") + F.col("__inside")).drop("__block", "__value", "__inside", "__before")
+    # One row for each block.
+    return summed.join(F.broadcast(totals), "__block").withColumn(name, F.col("__before") + F.col("__inside")).drop("__block", "__value", "__inside", "__before")
 
 
 @dataclass(frozen=True)
@@ -46,9 +57,9 @@ class Graph:
             vertices = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct()
         return Graph(vertices.withColumn("id", F.col("id").cast("long")), edges)
 
-    def settled(self, *, bucket: bool = False) -> Graph:
+    def settled(self, *, bucket: bool = True) -> Graph:
         """The same graph as written tables, for loops that read it in every round;
-        ``bucket``: edges by src, so that rounds don't shuffle them."""
+        ``bucket``: edges by src, so that rounds don't shuffle them. ``release`` them when done."""
         edges = bucketed(self.edges, "src", "edges") if bucket else materialize(self.edges, "edges")
         return Graph(materialize(self.vertices, "vertices"), edges)
 
@@ -66,8 +77,22 @@ class Graph:
     def non_empty(self) -> DataFrame:
         return self.edges.select(F.col("src").alias("id")).distinct()
 
-    def neighbors(self, vertex: int) -> DataFrame:
-        return self.edges.where(F.col("src") == vertex).select("dst")
+    def neighbors(self, vertex: int, direction: str = "out") -> DataFrame:
+        """Ends of a vertex's edges: ``dst``, or of in-edges ``src``."""
+        at, other = ("src", "dst") if direction == "out" else ("dst", "src")
+        return self.edges.where(F.col(at) == vertex).select(other)
+
+    def in_edges(self, symmetric: bool = False) -> DataFrame:
+        """``(id, nbr, ...)``: each vertex's in-edges; of a symmetric graph its out-edges, which are the same."""
+        at, other = ("src", "dst") if symmetric else ("dst", "src")
+        return self.edges.withColumnsRenamed({at: "id", other: "nbr"})
+
+    def edge_blocks(self, width: int) -> DataFrame:
+        """Edges laid out by ``(src_block, dst_block)``, blocks of ``width`` ids: a tile of the
+        adjacency matrix lies in one partition, ordered by tile."""
+        block = lambda c: F.floor(F.col(c) / width).cast("long")
+        tiled = self.edges.withColumns({"src_block": block("src"), "dst_block": block("dst")})
+        return tiled.repartition("src_block", "dst_block").sortWithinPartitions("src_block", "dst_block", "src", "dst")
 
     def has_edge(self, pairs: DataFrame) -> DataFrame:
         """``pairs(src, dst)`` with ``found``."""

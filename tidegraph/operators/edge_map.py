@@ -12,9 +12,12 @@ from tidegraph.graph import Graph
 COMBINE: dict[str, Callable[[Column], Column]] = {"sum": F.sum, "min": F.min, "max": F.max, "count": F.count, "and": F.bool_and, "or": F.bool_or, "list": F.collect_list, "set": F.collect_set}
 
 
-def edge_map(graph: Graph, state: DataFrame, *, message: Column | str, combine: str | Callable[[Column], Column] = "sum", active: Column | str | None = None, cond: Column | str | None = None, direction: str = "out", prop_blocking: bool = False) -> DataFrame:
+def edge_map(graph: Graph, state: DataFrame, *, message: Column | str, combine: str | Callable[[Column], Column] = "sum", active: Column | str | None = None, cond: Column | str | None = None, direction: str = "out", prop_blocking: bool = False, gather: dict[str, Column] | None = None, no_output: bool = False):
     """``(id, msg)``: what the active vertices' messages come to at each vertex.
 
+    With ``gather``, columns set from a vertex's own ones and ``msg`` where one came: the new state, and
+    the frontier of vertices that got a message; with ``no_output`` the new state alone.
+
     ``message`` is an expression over ``src.*`` and ``edge.*``; ``active`` one over
     ``src.*`` (all vertices without it); ``cond`` one over ``dst.*``, applied before
     messages are aggregated. ``direction``: along edges ("out"), against them
@@ -32,7 +35,12 @@ def edge_map(graph: Graph, state: DataFrame, *, message: Column | str, combine:
         sent = sent.select(F.col("edge.dst").alias("id"), expr(message).alias("msg"))
         out = sent if out is None else out.unionAll(sent)
     f = COMBINE[combine] if isinstance(combine, str) else combine
-    return out.groupBy("id").agg(f(F.col("msg")).alias("msg"))
+    messages = out.groupBy("id").agg(f(F.col("msg")).alias("msg"))
+    if gather is None:
+        return messages
+    came = F.col("__came").isNotNull()
+    after = state.join(messages.withColumn("__came", F.lit(True)), "id", "left").withColumns({k: F.when(came, v).otherwise(F.col(k)) for k, v in gather.items()}).drop("msg", "__came")
+    return after if no_output else (after, messages.select("id"))
 
 
 def merge(state: DataFrame, messages: DataFrame, **columns: Column) -> DataFrame:

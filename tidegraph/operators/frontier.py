@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegraph.graph import Graph
+from tidegraph.graph import Graph, running_sum
 
 #: Share of a graph's edges above which a frontier counts as dense.
 DENSE_SHARE = 0.005
@@ -50,6 +50,14 @@ class Frontier:
     def xor(self, other: Frontier) -> Frontier:
         return Frontier(self.minus(other).ids.unionAll(other.minus(self).ids))
 
+    def reset(self, first: int, last: int) -> Frontier:
+        """Without the ids from ``first`` to ``last``, both included."""
+        return Frontier(self.ids.where(~F.col("id").between(first, last)))
+
+    def offsets(self) -> DataFrame:
+        """``(id, place)``: the ids in order, numbered from 0."""
+        return running_sum(self.ids, "id", F.lit(1), "place").select("id", F.col("place").cast("long").alias("place"))
+
     def count(self) -> int:
         return self.ids.count()
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidegraph.graph import running_sum
 from tidegraph.operators.edge_map import COMBINE
 
 
@@ -42,6 +45,37 @@ def partition(df: DataFrame, predicate: Column) -> DataFrame:
     return df.withColumn("part", F.when(predicate, 0).otherwise(1))
 
 
-def pairwise(a: Column, b: Column, f: Callable[[Column, Column], Column]) -> Column:
-    """Element-wise combination of two arrays."""
-    return F.zip_with(a, b, f)
+def on_each(df: DataFrame, f: Callable[[int, int, Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """Calls ``f(partition, partitions, batches)`` once for each partition, and returns what it yields."""
+    n = df.rdd.getNumPartitions() if not df.isStreaming else -1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from f(TaskContext.get().partitionId(), n, batches)
+
+    return df.mapInArrow(run, schema)
+
+
+def split_range(df: DataFrame, key: str, parts: int) -> DataFrame:
+    """Adds ``part``: rows in order of ``key`` (unique integers) dealt to ``parts`` ranges of equal length,
+    the first ones longer by one where they don't divide."""
+    n = df.count()
+    size, longer = divmod(n, parts)
+    place = F.col("__place")
+    cut = longer * (size + 1)
+    part = F.floor(place / (size + 1)) if not size else F.when(place < cut, F.floor(place / (size + 1))).otherwise(longer + F.floor((place - cut) / size))
+    return running_sum(df, key, F.lit(1), "__place").withColumn("part", part.cast("int")).drop("__place")
+
+
+def statistics(df: DataFrame, value: str, *by: str) -> DataFrame:
+    """Per region and category (the columns ``by``): total, least, greatest, mean and count of ``value``."""
+    return df.groupBy(*by).agg(F.sum(value).alias("tsum"), F.min(value).alias("tmin"), F.max(value).alias("tmax"), F.avg(value).alias("tavg"), F.count(value).alias("n"))
+
+
+def pivot(df: DataFrame, row: str, column: str, value: str, columns: list[str] | None = None) -> DataFrame:
+    """A table of results: a row for each ``row``, a column for each ``column`` (``columns``: those, in that order), the sum of ``value``."""
+    return df.groupBy(row).pivot(column, columns).agg(F.sum(value))
+
+
+def write_csv(df: DataFrame, folder: str) -> None:
+    """CSV files with a header; as many as the table has partitions."""
+    df.write.mode("overwrite").option("header", True).csv(folder)

@@ -6,39 +6,54 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegraph.graph import Graph
-from tidegraph.operators.edge_map import edge_map
 from tidegraph.plans.loop import Rounds
-from tidegraph.store import materialize
+from tidegraph.store import materialize, release
+
+#: Tables of single levels that are merged into one.
+MERGE = 12
+
+
+class Levels:
+    """Tables of the levels so far, few of them however deep the graph is."""
+
+    def __init__(self, first: DataFrame):
+        self.parts = [first]
+
+    def add(self, level: DataFrame) -> None:
+        self.parts.append(level)
+        if len(self.parts) > MERGE:
+            merged = materialize(self.all(), "levels")
+            release(*self.parts)
+            self.parts = [merged]
+
+    def all(self) -> DataFrame:
+        out = self.parts[0]
+        for p in self.parts[1:]:
+            out = out.unionAll(p)
+        return out
 
 
 def bfs(graph: Graph, start: int, *, rounds: Rounds | None = None) -> DataFrame:
     """``(id, depth, parent)`` of the vertices that ``start`` reaches; it is its own
     parent, others have their smallest in-neighbour of the level before.
 
-    A round joins edges with the last level, drops vertices that have a depth,
-    and writes the new level only; levels are separate tables until the end.
+    A round takes the last level's edges, leaves out those to vertices that have a depth
+    before they are aggregated, and writes the new level only.
     """
     level = graph.vertices.where(F.col("id") == start).select("id", F.lit(0).alias("depth"), F.col("id").alias("parent"))
     level = materialize(level, "bfs")
-    visited, depth, size = [level], 0, level.count()
+    known, depth, size = Levels(level), 0, level.count()
     degrees = materialize(graph.degrees(), "degrees") if rounds is not None else None
     while size:
         if rounds is not None:
-            m = level.join(degrees, "id").agg(F.sum("degree")).first()[0] or 0
-            rounds.add("bfs", size, m)
+            rounds.add("bfs", size, level.join(degrees, "id").agg(F.sum("degree")).first()[0] or 0)
         depth += 1
-        known = _union(visited).select("id")
-        reached = edge_map(graph, level, message="src.id", combine="min")
-        level = materialize(reached.join(known, "id", "left_anti").select("id", F.lit(depth).alias("depth"), F.col("msg").alias("parent")), "bfs")
+        sent = graph.edges.select("src", "dst").join(level.select(F.col("id").alias("src")), "src")
+        fresh = sent.join(known.all().select(F.col("id").alias("dst")), "dst", "left_anti")
+        level = materialize(fresh.groupBy(F.col("dst").alias("id")).agg(F.lit(depth).alias("depth"), F.min("src").alias("parent")), "bfs")
         size = level.count()
-        visited.append(level)
-        if len(visited) >= 24:  # few tables, however deep the graph is
-            visited = [materialize(_union(visited), "bfs")]
-    return _union(visited)
-
-
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionAll(p)
-    return out
+        known.add(level)
+        level = known.parts[-1].where(F.col("depth") == depth)
+    if degrees is not None:
+        release(degrees)
+    return known.all()

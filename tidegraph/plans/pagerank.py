@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidegraph.graph import Graph
 from tidegraph.operators.edge_map import edge_map, merge
 from tidegraph.plans.loop import Rounds
-from tidegraph.store import materialize
+from tidegraph.store import materialize, release
 
 
 def pagerank(graph: Graph, *, damping: float = 0.85, epsilon: float = 1e-2, epsilon2: float = 1e-7, max_rounds: int = 1000, stop: str = "delta", rounds: Rounds | None = None) -> DataFrame:
@@ -21,7 +21,8 @@ def pagerank(graph: Graph, *, damping: float = 0.85, epsilon: float = 1e-2, epsi
     """
     n = graph.vertices.count()
     state = graph.degrees().select("id", F.col("degree").alias("od"), F.lit(0.0).alias("score"), F.lit(1.0 / max(n, 1)).alias("delta"), F.lit(True).alias("active"))
-    state = materialize(state, "pagerank")
+    state = last = materialize(state, "pagerank")
+    sent = (n, state.agg(F.sum("od")).first()[0]) if rounds is not None else (0, 0)
     for k in range(1, max_rounds + 1):
         msgs = edge_map(graph, state, message="src.delta / src.od", active="src.active")
         came = damping * F.coalesce("msg", F.lit(0.0))
@@ -32,12 +33,15 @@ def pagerank(graph: Graph, *, damping: float = 0.85, epsilon: float = 1e-2, epsi
         else:
             state = merge(state, msgs, __d=came).withColumn("active", F.abs("__d") > epsilon * F.col("score"))
             state = state.select("id", "od", F.when(F.col("active"), F.col("score") + F.col("__d")).otherwise(F.col("score")).alias("score"), F.col("__d").alias("delta"), "active")
-        state = materialize(state, "pagerank")
-        if k == max_rounds and rounds is None:
+        new = materialize(state, "pagerank")
+        release(last)
+        state = last = new
+        if rounds is not None:
+            rounds.add("pagerank", sent[0], sent[1] or 0)
+        if k == max_rounds:
             break
         change, active, edges = state.agg(F.sum(F.abs("delta")), F.count_if("active"), F.sum(F.when(F.col("active"), F.col("od")))).first()
-        if rounds is not None:
-            rounds.add("pagerank", active, edges or 0)
+        sent = active, edges
         if (change or 0.0) < epsilon2 if stop == "delta" else not active:
             break
     return state.select("id", "score", "delta", "active")
