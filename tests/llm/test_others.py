@@ -145,6 +145,8 @@ def test_mixing_weights(spark):
     c = mixing.mix(docs, weights={"a": 1.0}, total=360_000.0).groupBy("doc_id").count().agg(F.avg("count"), F.variance("count")).first()
     assert c[0] == pytest.approx(20, rel=0.02) and c[1] == pytest.approx(20, rel=0.06)
     assert mixing.mix(docs.limit(0)).count() == 0
+    clash = docs.limit(50).withColumns({c: F.lit(c) for c in ("s", "row", "copy", "draws", "cdf", "times", "place", "n", "w")})
+    assert mixing.mix(clash).columns == clash.columns and mixing.mix(clash, copy_column="number").where("copy = 'copy' and number >= 0").count() > 0
 
 
 def test_warc_rows(spark):
@@ -161,6 +163,12 @@ def test_warc_rows(spark):
     assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_a_payload_that_most_pages_have(spark):
+    rows = [(i, "u", "same") for i in range(400)] + [(1000 + i, "u", f"p{i % 150}") for i in range(200)]
+    got = {r["page_id"]: (r["record_type"], r["refers_to"]) for r in warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: ("revisit", 399) for i in range(399)} | {399: ("response", None)} | {1000 + i: ("revisit", 1150 + i) if i < 50 else ("response", None) for i in range(200)}
+
+
 def test_normaliser():
     records = [warc.page_record(i, "u", bytes([i]) * (i * 50_000), "D", None) for i in range(1, 6)]
     out = io.BytesIO()

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegraph.llm.common import materialize, spread_join
+from tidegraph.store import release
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -25,12 +26,14 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         # Large star: all greater neighbours of an id move to the least of it and its neighbours.
         both = e.select("a", "b", F.lit(0).alias("up")).unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b"), F.lit(1)))
         low = both.groupBy(F.col("a").alias("b")).agg(F.min("b").alias("m"), F.sum("up").alias("n")).where("n > 0")
-        low = materialize(low.select("b", F.least("m", "b").alias("m"), "n"), "cc")
-        large = materialize(spread_join(e, low, "b", "n").select("a", F.col("m").alias("b")).distinct(), "cc")
+        up = materialize(low.select("b", F.least("m", "b").alias("m"), "n"), "cc")
+        large = materialize(spread_join(e, up, "b", "n").select("a", F.col("m").alias("b")).distinct(), "cc")
         # Small star: all smaller neighbours of an id, and it itself, move to the least of them.
         low = materialize(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "cc")
         moved = spread_join(large, low, "a", "n").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        e = materialize(moved.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "cc")
+        new = materialize(moved.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "cc")
+        release(e, up, large, low)
+        e = new
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % (1 << 40))).first()
         if now == before:
             break

@@ -57,13 +57,14 @@ def mix(docs: DataFrame, *, weights: dict[str, float] | None = None, total: floa
 
     Returns the columns of ``docs`` (and ``copy_column``, the copy's number from
     0, where it is named). A document keeps its doc_id in each copy. Rows that
-    repeat a doc_id draw alike; null ids draw as the empty text does. Texts play
-    no part. An empty table gives no rows. The hottest source costs no more than
+    repeat a doc_id draw alike; null ids draw as the empty text does. Texts, null, empty
+    or long, play no part; extra columns may have any names. An empty table gives no rows. The hottest source costs no more than
     others: counts are combined before they move, and the few rows of
     ``rates`` are broadcast, or, of many sources, joined back by a join that AQE can split.
     """
-    names = docs.columns
-    r = rates(docs, weights, total).select(F.col("source").alias("__s"), "rate")
+    # Whole rows travel as one column, so that no name of theirs clashes.
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    r = rates(docs, weights, total).select(F.col("source").alias("s"), "rate")
     draws = F.greatest(F.ceil(F.col("rate") / STEP).cast("int"), F.lit(1))
     mean = F.col("rate") / draws
     # Distribution of one draw, one array for a source: (term, sum so far) folded over 1..TERMS.
@@ -72,19 +73,19 @@ def mix(docs: DataFrame, *, weights: dict[str, float] | None = None, total: floa
         F.sequence(F.lit(1), F.lit(TERMS)), first,
         lambda a, k: F.struct((a["p"] * mean / k).alias("p"), F.concat(a["c"], F.array(F.element_at(a["c"], -1) + a["p"] * mean / k)).alias("c")),
     )["c"]
-    r = r.where("rate > 0").select("__s", draws.alias("__draws"), cdf.alias("__cdf"))
+    r = r.where("rate > 0").select("s", draws.alias("draws"), cdf.alias("cdf"))
     if r.count() <= BROADCAST_SOURCES:
         r = F.broadcast(r)
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    key = F.coalesce(F.col("row.doc_id").cast("string"), F.lit(""))
     u = lambda j: _uniform(F.lit(str(seed)), F.lit("count"), key, j.cast("string"))
     # The count of a draw is the number of sums that lie below the hashed number.
-    count = F.aggregate(F.transform(F.sequence(F.lit(1), F.col("__draws")), lambda j: F.aggregate(F.col("__cdf"), F.struct(u(j).alias("u"), F.lit(0).alias("k")), lambda a, c: F.struct(a["u"].alias("u"), (a["k"] + (c < a["u"]).cast("int")).alias("k")))["k"]), F.lit(0), lambda a, b: a + b)
-    drawn = docs.join(r, docs["source"].eqNullSafe(r["__s"])).withColumn("__n", count).where("__n > 0")
-    copies = drawn.select(*(docs[c] for c in names), F.explode(F.sequence(F.lit(0), F.col("__n") - 1)).alias("__copy"))
-    place = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit("place"), key, F.col("__copy").cast("string")))
+    count = F.aggregate(F.transform(F.sequence(F.lit(1), F.col("draws")), lambda j: F.aggregate(F.col("cdf"), F.struct(u(j).alias("u"), F.lit(0).alias("k")), lambda a, c: F.struct(a["u"].alias("u"), (a["k"] + (c < a["u"]).cast("int")).alias("k")))["k"]), F.lit(0), lambda a, b: a + b)
+    drawn = rows.join(r, F.col("row.source").eqNullSafe(F.col("s"))).withColumn("times", count).where("times > 0")
+    copies = drawn.select("row", F.explode(F.sequence(F.lit(0), F.col("times") - 1)).alias("copy"))
+    place = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit("place"), key, F.col("copy").cast("string")))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    out = copies.withColumn("__place", place).repartition(n, "__place").sortWithinPartitions("__place")
-    return out.select(*names, *([F.col("__copy").alias(copy_column)] if copy_column else []))
+    out = copies.withColumn("place", place).repartition(n, "place").sortWithinPartitions("place")
+    return out.select(*(F.col("row")[c].alias(c) for c in docs.columns), *([F.col("copy").alias(copy_column)] if copy_column else []))
 
 
 def op6_poisson_mixing_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

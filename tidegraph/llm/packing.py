@@ -292,6 +292,7 @@ def plan(lengths: DataFrame, *, capacity: int = CAPACITY, shard_pieces: int = SH
         packed = materialize(keyed.groupBy("shard").applyInArrow(packing(number), "key long, length long, sequence_id long, offset long, full boolean"), "packed")
         rest = packed.where("not full").count() if shards > 1 else 0
         more = 0 < rest <= 0.75 * n
+        # What isn't full is placed by a later round, if there is one.
         kept = packed.where("full") if more else packed
         kept = kept.select("key", "sequence_id", "offset")
         out = kept if out is None else out.unionAll(kept)

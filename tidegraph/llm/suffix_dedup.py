@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from tidegraph.llm.common import documents, fresh_path, materialize, spread_join
 from tidegraph.llm.deepshallow import deep_shallow, lcp_array
+from tidegraph.store import delete, release
 
 LENGTH = 100
 GRAM = 20
@@ -405,7 +406,8 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, with_text: bool = F
         texts = texts.dropDuplicates(["uid", "th"])
     work = texts.join(firsts, same_text(repeats_id)).select("uid", "th", "rid", "text")
     name, n = f"suffix_texts_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
-    work.write.bucketBy(n, *["uid", "th"][: 1 + repeats_id]).option("path", fresh_path(spark, "suffix-texts")).option("compression", "zstd").saveAsTable(name)
+    path = fresh_path(spark, "suffix-texts")
+    work.write.bucketBy(n, *["uid", "th"][: 1 + repeats_id]).option("path", path).option("compression", "zstd").saveAsTable(name)
     work = spark.table(name)
 
     lists = lambda df, what, name: df.groupBy("uid", "th").agg(F.collect_list(what).alias(name)).withColumnsRenamed({"uid": "u", "th": "t"})
@@ -435,6 +437,8 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, with_text: bool = F
 
     done = materialize(both.mapInArrow(run, "first long, removed long, runs long, kept string, rest string"), "cut")
     spark.sql(f"DROP TABLE {name}")
+    delete(spark, path)
+    release(spots, different)
     rows = small.join(done, F.col("rid") == F.col("first"), "left")
     short, found = F.col("n_bytes") < length, F.col("first").isNotNull()
     if with_text:

@@ -20,7 +20,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegraph.llm.common import fresh_path, materialize
+from tidegraph.llm.common import fresh_path, materialize, spread_join
+from tidegraph.store import open_fs
 
 LEVEL = 1
 CHUNK = 1 << 18
@@ -28,13 +29,6 @@ CHUNK = 1 << 18
 ARCHIVE_BYTES = 32 << 20
 
 
-def open_fs(uri: str):
-    """(file system, path) of a folder or file of the shared store."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri if "://" in uri or not uri.startswith("file:") else "file://" + uri[5:])
-
-
 def digest32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
@@ -170,9 +164,11 @@ def with_references(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"), F.sha1(payload).alias("sha"))
-    keys = rows.select("page_id", "sha", F.length("payload").alias("n")).where(F.col("n") >= min_bytes)
-    last = keys.groupBy(F.col("sha").alias("s")).agg(F.max("page_id").alias("last"), F.count("*").alias("times")).where("times > 1")
-    return rows.join(last, rows["sha"] == last["s"], "left").select("page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("last")), F.col("last")).alias("refers_to"))
+    keys = rows.select("page_id", "sha", F.length("payload").alias("size")).where(F.col("size") >= min_bytes)
+    last = materialize(keys.groupBy("sha").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1"), "payloads")
+    # The rows of a payload that very many pages have stay where they are.
+    joined = spread_join(rows, last, "sha", "n", "left")
+    return joined.select("page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("last")), F.col("last")).alias("refers_to"))
 
 
 def write_archives(rows: DataFrame, folder: str) -> DataFrame:
