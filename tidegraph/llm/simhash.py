@@ -289,13 +289,18 @@ def keep_one(docs: DataFrame, *, words: int = 4, threshold: int = 4, blocks: int
     Null and empty texts have one fingerprint and so are one component. Rows that repeat an
     id are judged by their own texts. An empty table gives no rows; no column name clashes.
     """
-    mark = next(c for i in range(len(docs.columns) + 1) if (c := f"row_number_{i}") not in docs.columns)
-    rows = materialize(docs.withColumn(mark, F.monotonically_increasing_id()), "rows")
-    each = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct(F.sha2("text", 256).alias("sha"), F.col(mark).alias("at")).alias("place"))
-    each = materialize(fingerprints(each, words, "place"), "fingerprints")
-    order = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("i"), F.col("doc_id").isNull().alias("null"), F.col("place.sha").alias("s"), F.col("place.at").alias("at"))
-    kept = _classes(each, threshold, blocks).groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.at").alias(mark))
-    return rows.join(kept, mark, "left_semi").select(*docs.columns)
+    # A row is known by its id and its text's hash, so that texts need not be written.
+    names = [c for i in range(len(docs.columns) + 2) if (c := f"known_{i}") not in docs.columns][:2]
+    row = [F.col("doc_id").cast("long"), F.coalesce(F.unhex(F.sha2("text", 256)), F.lit(b""))]
+    each = materialize(fingerprints(docs.select("doc_id", "text", row[1].alias("sha")), words, "sha"), "fingerprints")
+    order = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("i"), F.col("doc_id").isNull().alias("no_id"), "sha")
+    firsts = _classes(each, threshold, blocks).groupBy("root").agg(F.min(order).alias("first"))
+    kept = firsts.select(F.when(~F.col("first.no_id"), F.col("first.i")).alias(names[0]), F.col("first.sha").alias(names[1]))
+    kept = materialize(kept, "kept").alias("kept")
+    out = docs.withColumns(dict(zip(names, row, strict=True))).alias("row").join(kept, F.col(f"row.{names[0]}").eqNullSafe(F.col(f"kept.{names[0]}")) & (F.col(f"row.{names[1]}") == F.col(f"kept.{names[1]}")), "left_semi")
+    if not each.groupBy("doc_id", "sha").count().where("count > 1").isEmpty():
+        out = out.dropDuplicates(names)
+    return out.select(*docs.columns)
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
