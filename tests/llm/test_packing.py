@@ -130,3 +130,14 @@ def test_op1_digests_are_of_packed_ids(spark, monkeypatch):
     monkeypatch.setattr(packing, "tokenize_pieces", lambda docs, **k: cut)
     rows = packing.op1_best_fit_packing(spark, sf).select("length", "ids_crc32").distinct().collect()
     assert {tuple(r) for r in rows} == {(1, zlib.crc32(np.array(r["ids"], "<u4").tobytes())) for r in cut.collect()}
+
+
+def test_another_operator_empties_the_cache():
+    from tidegraph.llm.common import claim
+
+    claim("packing", packing.forget)
+    packing.encoder(tokenizer_path())
+    claim("packing", packing.forget)
+    assert packing._encoders
+    claim("toxicity")
+    assert not packing._encoders

@@ -2,12 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegraph.store import fresh_path, materialize, shared_dir
 
-__all__ = ["bounded", "documents", "fold", "fresh_path", "labels", "materialize", "shared_dir", "spread_join"]
+__all__ = ["bounded", "claim", "documents", "fold", "fresh_path", "labels", "materialize", "shared_dir", "spread_join"]
+
+
+#: Who holds a large cache in this Python worker, and how it is emptied.
+_holder: list[tuple[str, Callable[[], None]]] = []
+
+
+def claim(owner: str, empty: Callable[[], None] | None = None) -> None:
+    """Called where an operator begins in a Python worker: workers are used again by others, and the
+    cache that another operator left there is emptied. ``empty`` does that for the caller's own."""
+    if _holder and _holder[0][0] != owner:
+        _holder.pop()[1]()
+    if empty and not _holder:
+        _holder.append((owner, empty))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegraph.llm.common import documents, materialize
+from tidegraph.llm.common import claim, documents, materialize
 
 CAPACITY = 2048
 #: Pieces that one task packs; the number of shards grows with the input.
@@ -185,6 +185,11 @@ def encoder(path: str) -> WordEncoder:
     return _encoders.get(path) or _encoders.setdefault(path, WordEncoder(path))
 
 
+def forget() -> None:
+    """Empties what this worker holds; a function of the module, so that tasks reach the module's own table."""
+    _encoders.clear()
+
+
 def _steps(sizes: np.ndarray, step: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about ``step`` bytes."""
     ends, lo = np.cumsum(sizes), 0
@@ -204,6 +209,7 @@ def tokenize_pieces(docs: DataFrame, *, tokenizer: str | None = None, capacity:
     path = tokenizer or tokenizer_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("packing", forget)
         encode = encoder(path).encode
         for batch in batches:
             texts = pc.fill_null(batch.column(1), "")

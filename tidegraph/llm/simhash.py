@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tidegraph.llm.common import documents, materialize, spread_join
+from tidegraph.llm.common import claim, documents, materialize, spread_join
 from tidegraph.llm.components import connected_components
 
 BITS = 64
@@ -64,6 +64,7 @@ def fingerprints(docs: DataFrame, words: int = 4, *others: str) -> DataFrame:
     schema = StructType([wanted.schema[0], StructField("fp", LongType()), *wanted.schema[2:]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("simhash")
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)

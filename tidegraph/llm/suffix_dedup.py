@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegraph.llm.common import documents, fresh_path, materialize, spread_join
+from tidegraph.llm.common import claim, documents, fresh_path, materialize, spread_join
 from tidegraph.llm.deepshallow import deep_shallow, lcp_array
 from tidegraph.store import delete, release
 
@@ -142,6 +142,7 @@ def anchors(work: DataFrame, length: int, hot: np.ndarray) -> DataFrame:
     """Each anchor's hash and place; ``salt`` is 0, or for ``hot`` ones a number above that spreads them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("suffix")
         for batch in batches:
             texts = batch.column(2).cast(pa.binary())
             for at in range(0, batch.num_rows, 256):

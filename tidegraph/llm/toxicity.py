@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegraph.llm.common import bounded, documents, fold, labels, materialize
+from tidegraph.llm.common import bounded, claim, documents, fold, labels, materialize
 
 FOLDS = 5
 THRESHOLD = 0.5
@@ -167,7 +167,8 @@ class Model:
 class Scanner:
     """Finds terms in texts and scores their windows."""
 
-    def __init__(self, model: Model, limit: int = 300_000):
+    def __init__(self, model: Model, limit: int = 150_000):
+        claim("toxicity")
         self.automaton, self.known, self.limit = Automaton(model.words, model.stems), {}, limit
         self.context, self.clean = model.context, model.clean
 
